@@ -51,9 +51,8 @@ def lookup_join(
     )
     settled = df.join(F.broadcast(hot), keys, "left")
     spread = F.concat_ws("\x00", F.lit("\x00"), *[F.col(c).cast("string") for c in unique])
-    settled = settled.withColumn(
-        "_probe", F.when(F.col("_hot").isNull(), F.col(last).cast("string")).otherwise(spread)
-    )
+    to_find = F.col("_hot").isNull() & F.col(last).isNotNull()
+    settled = settled.withColumn("_probe", F.when(to_find, F.col(last).cast("string")).otherwise(spread))
     cold = table.select(
         *keys[:-1], F.col(last).cast("string").alias("_probe"), F.struct(*values).alias("_cold")
     )
