@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from duolex.operators.inference import Translator, translate
 from duolex.streaming.debounce import debounce_stream
@@ -21,11 +22,10 @@ def translation_log(
     watermark_seconds: int | None = None,
 ) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
     """The stream of log records for (key, ts, value, seq) input, and the sink that keeps them."""
-    from pyspark.sql import functions as F
-
     fired = debounce_stream(keystrokes, "key", "ts", "value", "seq", gap_seconds, watermark_seconds)
     asked = fired.withColumnsRenamed({"value": "source"}).withColumns(
         {"source_lang": F.lit(source_lang), "target_lang": F.lit(target_lang)}
     )
     done = translate(asked, load_translator, on_error="message", output="target")
-    return history_records(done, "fired_at", "key"), history_sink(path)
+    numbered = done.withColumn("seq", F.xxhash64("key"))
+    return history_records(numbered, "fired_at", "seq"), history_sink(path)

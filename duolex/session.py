@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "duolex", cores: str | int = "*", **extra: str) -> SparkSession:
@@ -21,12 +23,26 @@ def build_session(app: str = "duolex", cores: str | int = "*", **extra: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        # The archive only leaves the driver through `addPyFile`, which copies it to the workers.
+        target = os.path.join(tempfile.mkdtemp(prefix="duolex-pkg-"), "duolex")
+        parent, name = os.path.split(package)
+        spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", parent, name))
+        _shipped.add(app)
     return spark
 
 

@@ -23,14 +23,14 @@ INDEX_COLUMN = "__index_level_0__"
 
 
 def _parquet_files(spark: SparkSession, path: str) -> list[str]:
-    """Parquet entries of a folder (files, or folders Spark wrote), in name order."""
+    """Parquet files and partition folders of a folder, in name order."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return []
-    entries = [s.getPath().toString() for s in fs.listStatus(folder)]
-    return sorted(e for e in entries if e.endswith(".parquet"))
+    entries = [s.getPath() for s in fs.listStatus(folder)]
+    return sorted(e.toString() for e in entries if e.getName().endswith(".parquet") or "=" in e.getName())
 
 
 def read_dir(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
