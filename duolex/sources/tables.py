@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duolex.session import materialize
+
 log = logging.getLogger(__name__)
 
 LANGUAGE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "code", "iso_code")])
@@ -85,7 +87,9 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
         .option("columnNameOfCorruptRecord", corrupt)
         .json(path)
     )
-    return rows.filter(F.col(corrupt).isNull()).select(*schema.fieldNames())
+    # A query that prunes all other columns may not read the marker, so the rows are parsed once.
+    parsed = materialize(rows, "json")
+    return parsed.filter(F.col(corrupt).isNull()).select(*schema.fieldNames())
 
 
 def write_dictionary(df: DataFrame, path: str, partitions_per_iso: int = 1) -> None:

@@ -108,7 +108,7 @@ def history(spark, d):
     turns = table(spark, d, "conversations")
     answers = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target_text"))
     second = F.col("conv_id") * 100 + F.col("turn")
-    at = F.timestampadd("SECOND", second.cast("int"), F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))
     return turns.join(answers, ["conv_id", "turn"]).select(
         F.col("text").alias("source_text"),
         "target_text",
