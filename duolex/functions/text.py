@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # The Unicode whitespace set that `str.strip`, `str.split` and `\s` share, and
 # the word set behind `\w`. Java's own `\s` and `\w` are ASCII, so both are spelled out.
-SPACE = r"\s\p{Z}\x1c-\x1f\x85"
-WORD = r"\p{L}\p{N}_"
+# The common characters come first in each set, because a match stops at the first hit.
+SPACE = r" \s\p{Z}\x1c-\x1f\x85"
+WORD = r"a-zA-Z0-9_\p{L}\p{N}"
 # Digits that are not decimal numbers but still count as digits (superscripts, subscripts).
 DIGIT = r"\p{Nd}²³¹⁰⁴-⁹₀-₉"
 
@@ -60,7 +61,7 @@ def normalize_text(c: Column | str, repair: bool = True) -> Column:
 
 def word_array(c: Column | str) -> Column:
     """Lower-case, drop what is neither word nor space, split on whitespace, drop ''."""
-    kept = F.regexp_replace(F.lower(_col(c)), f"[^{WORD}{SPACE}]", "")
+    kept = F.regexp_replace(F.lower(_col(c)), f"[^{WORD}{SPACE}]+", "")
     return F.filter(F.split(kept, f"[{SPACE}]+"), lambda w: w != "")
 
 

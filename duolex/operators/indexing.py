@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# An id bucket spans this many bits, so it holds at most a million rows with distinct ids.
-ID_BITS = 20
+# An id bucket spans this many bits, so it holds at most 1,024 rows with distinct ids, and a
+# coarse bucket at most 65,536 of them.
+ID_BITS, COARSE_BITS = 10, 16
 # A hash bucket is named by this many hex digits: a million buckets per group.
 HASH_DIGITS = 5
 COARSE_DIGITS = 2
@@ -63,7 +64,7 @@ def _number(df: DataFrame, groups: Sequence[str], fine: Column, coarse, order: S
 def position_by_id(df: DataFrame, id_col: str, groups: Sequence[str] = (), name: str = "row_index") -> DataFrame:
     """Add the 0-based position of each row inside its group, ascending by a distinct integer id."""
     fine = F.shiftright(F.col(id_col).cast("long"), ID_BITS)
-    return _number(df, groups, fine, lambda f: F.shiftright(f, ID_BITS), [id_col], name)
+    return _number(df, groups, fine, lambda f: F.shiftright(f, COARSE_BITS), [id_col], name)
 
 
 def position_by_hash(

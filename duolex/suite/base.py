@@ -17,6 +17,7 @@ from duolex.session import ship_package
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 PAIRED = (("en", "de"), ("es", "fr"))
 LANGUAGES = ("de", "en", "es", "fr")
 # The fourth language of the texts is left out on purpose: its rows must be dropped.
@@ -42,7 +43,16 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, spread over the cores if it has fewer files than there are cores.
+
+    The test tables are one row group each, which one task would read and work on alone. A
+    table of many files is left as it is scanned.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_KEYS and len(df.inputFiles()) < cores:
+        return df.repartition(cores, TEXT_KEYS[name])
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def _keystrokes(spark, d):
         F.lit("view").alias("event_type"),
     ).write.parquet(path)
     source = table(spark, d, "events").schema
-    live = _stream(spark, f"{d}/events.parquet", source).select(
+    live = _stream(spark, f"{d}/events.p*", source).select(
         "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"
     )
     return live.unionByName(_stream(spark, path, events.schema))
@@ -93,7 +93,7 @@ def _split_files(frame, spark, order, n=4):
 
 @query(
     "history_sink",
-    """SELECT text AS source_text, upper(text) AS target_text,
+    """SELECT text AS source_text, 'to ' || text AS target_text,
          strftime(make_timestamp(2024, 1, 1, 0, 0, 0) + to_seconds(conv_id * 100 + turn), '%Y-%m-%d %H:%M:%S') AS timestamp,
          'en->' || role AS direction
        FROM conversations ORDER BY conv_id * 100 + turn DESC LIMIT 100""",
@@ -103,7 +103,7 @@ def history_sink(spark, d):
     path = _split_files(turns, spark, "conv_id")
     second = F.col("conv_id") * 100 + F.col("turn")
     live = _stream(spark, path, turns.schema, 1).select(
-        F.col("text").alias("source"), F.upper("text").alias("target"), F.lit("en").alias("source_lang"),
+        F.col("text").alias("source"), F.concat(F.lit("to "), "text").alias("target"), F.lit("en").alias("source_lang"),
         F.col("role").alias("target_lang"), second.alias("seq"),
         (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))).alias("ts"),
     )

@@ -162,7 +162,7 @@ both_ways AS (SELECT dataset, row_index, source, target, source_lang, target_lan
 def stratified_split(spark, d):
     from duolex.operators.filters import normalize_pairs
 
-    clean = normalize_pairs(b.pairs(spark, d), repair=False)
+    clean = normalize_pairs(b.pairs(spark, d), repair=False).select("dataset", "row_index", "source_lang")
     return od.stratified_split(clean, ["dataset", "row_index"]).select("dataset", "row_index", "source_lang", "split")
 
 
