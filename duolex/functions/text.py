@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 # The common characters come first in each set, because a match stops at the first hit.
 SPACE = r" \s\p{Z}\x1c-\x1f\x85"
 WORD = r"a-zA-Z0-9_\p{L}\p{N}"
+# The same whitespace set, character by character.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Digits that are not decimal numbers but still count as digits (superscripts, subscripts).
 DIGIT = r"\p{Nd}²³¹⁰⁴-⁹₀-₉"
 
@@ -29,7 +34,11 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim Unicode whitespace on both ends."""
-    return F.regexp_replace(F.regexp_replace(_col(c), f"^[{SPACE}]+", ""), f"[{SPACE}]+$", "")
+    return F.trim(_col(c), F.lit(SPACE_CHARS))
+
+
+def is_blank(c: Column | str) -> Column:
+    return ~_col(c).rlike(f"[^{SPACE}]")
 
 
 def strip_tags(c: Column | str) -> Column:

@@ -56,11 +56,12 @@ def build_examples(pairs: DataFrame, vocab: DataFrame, keys: Sequence[str], max_
         F.struct(F.lit(1).alias("_side"), cut(F.col("target")).alias("_words")),
     )
     words = pairs.select(*keys, F.inline(sides)).select(
-        *keys, "_side", F.posexplode_outer("_words").alias("_at", "term")
+        *keys, "_side", F.posexplode_outer("_words").alias("_at", "_term")
     )
-    found = lookup_join(words, vocab, ["term"], [F.desc("count"), F.col("term")], [*keys, "_side", "_at"])
+    known = vocab.select(F.col("term").alias("_term"), F.col("id").alias("_id"), F.col("count").alias("_count"))
+    found = lookup_join(words, known, ["_term"], [F.desc("_count"), F.col("_term")], [*keys, "_side", "_at"])
     # A text without words still has its row, with a null position.
-    token = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))
+    token = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("id")))
 
     def side(which: int) -> Column:
         ordered = F.sort_array(F.collect_list(F.when(F.col("_side") == which, token)))

@@ -62,5 +62,5 @@ def correction_gate(
 ) -> DataFrame:
     """Texts that are checked at all: listed language, not blank, not too long."""
     return df.filter(
-        F.col(lang).isin(*languages) & (tx.strip(text) != "") & (F.length(text) <= max_length)
+        F.col(lang).isin(*languages) & (F.length(text) <= max_length) & ~tx.is_blank(text)
     )

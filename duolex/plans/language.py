@@ -21,12 +21,12 @@ from duolex.sources import tables as tb
 LANGUAGE_CODES = {"English": "en", "Turkish": "tr"}
 
 
-def build_dictionary(spark: SparkSession, corpus: str, languages: str, output: str, min_count: int = MIN_FREQUENCY, partitions_per_iso: int = 1) -> DataFrame:
+def build_dictionary(spark: SparkSession, corpus: str, languages: str, output: str, min_count: int = MIN_FREQUENCY) -> DataFrame:
     """Count the words of every table below `corpus` and store one dictionary per language."""
     columns = ["source", "target", "source_lang", "target_lang"]
     entries = tb.read_dir(spark, corpus, columns)
     dimension = tb.read_json_array(spark, languages, tb.LANGUAGE_SCHEMA)
-    tb.write_dictionary(word_frequency(entries, dimension, min_count), output, partitions_per_iso)
+    tb.write_dictionary(word_frequency(entries, dimension, min_count), output)
     return most_common(tb.read_dictionary(spark, output))
 
 

@@ -64,8 +64,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, kept apart by application."""
+    app = spark.sparkContext.applicationId
+    return os.path.join(scratch_root(spark), app, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

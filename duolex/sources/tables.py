@@ -92,14 +92,14 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return parsed.filter(F.col(corrupt).isNull()).select(*schema.fieldNames())
 
 
-def write_dictionary(df: DataFrame, path: str, partitions_per_iso: int = 1) -> None:
+def write_dictionary(df: DataFrame, path: str) -> None:
     """(iso, term, count) as one folder per language, most frequent first.
 
-    A language's terms may be split over several files by hash; inside a file they are ordered,
-    and readers that need the full order sort by (count desc, term).
+    Ranges of the order itself are the partitions, so a large language is many files, in name
+    order, and none is larger than its neighbours.
     """
-    spread = df.repartition("iso", F.pmod(F.xxhash64("term"), F.lit(partitions_per_iso)))
-    ordered = spread.sortWithinPartitions("iso", F.desc("count"), "term")
+    order = ["iso", F.desc("count"), "term"]
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.write.mode("overwrite").option("compression", "snappy").partitionBy("iso").parquet(path)
 
 

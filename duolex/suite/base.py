@@ -12,7 +12,7 @@ from duolex.operators.datasets import union_datasets
 from duolex.operators.filters import tag_languages
 from duolex.operators.indexing import position_by_id
 from duolex.operators.joins import zip_rows
-from duolex.session import ship_package
+from duolex.session import materialize, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,15 +61,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_index, source, target, source_lang, target_lang, dataset, ordinal): the i-th
-    document of one language with the i-th of another, for two pairs of languages."""
+    document of one language with the i-th of another, for two pairs of languages.
+
+    Stored, as pairs are at rest before anything is done with them.
+    """
     placed = position_by_id(documents(spark, sf_dir).select("doc_id", "lang", "text"), "doc_id", ["lang"])
 
     def side(lang: str, name: str) -> DataFrame:
         return placed.filter(F.col("lang") == lang).select("row_index", F.col("text").alias(name))
 
-    return union_datasets(
+    zipped = union_datasets(
         [(f"{a}-{b}", tag_languages(zip_rows(side(a, "source"), side(b, "target")), a, b)) for a, b in PAIRED]
     )
+    return materialize(zipped, "pairs")
 
 
 PAIRS = """

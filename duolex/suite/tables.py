@@ -343,5 +343,5 @@ def most_common(spark, d):
 @query("write_dictionary", f"WITH {DICTIONARY} SELECT iso, term, count FROM dictionary")
 def write_dictionary(spark, d):
     path = scratch_path(spark, "dictionary")
-    tb.write_dictionary(dictionary(spark, d), path, partitions_per_iso=4)
+    tb.write_dictionary(dictionary(spark, d), path)
     return tb.read_dictionary(spark, path)
