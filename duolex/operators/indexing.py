@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duolex.operators.joins import join_null_safe
+
 # An id bucket spans this many bits, so it holds at most 1,024 rows with distinct ids, and a
 # coarse bucket at most 65,536 of them.
 ID_BITS, COARSE_BITS = 10, 16
@@ -43,8 +45,8 @@ def _offsets(df: DataFrame, groups: Sequence[str], fine: Column, coarse) -> Data
         Window.partitionBy(*groups, "_coarse").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
     )
     counts = counts.withColumn("_inner", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    keys = [*groups, "_coarse"]
-    return counts.join(top, keys).select(*groups, "_fine", (F.col("_base") + F.col("_inner")).alias("_before"))
+    joined = join_null_safe(counts, top, [*groups, "_coarse"])
+    return joined.select(*groups, "_fine", (F.col("_base") + F.col("_inner")).alias("_before"))
 
 
 def _number(df: DataFrame, groups: Sequence[str], fine: Column, coarse, order: Sequence, name: str) -> DataFrame:
@@ -56,7 +58,7 @@ def _number(df: DataFrame, groups: Sequence[str], fine: Column, coarse, order: S
     offsets = _offsets(df, anchor, fine, coarse)
     inside = Window.partitionBy(*anchor, "_fine").orderBy(*order)
     numbered = df.withColumn("_fine", fine).withColumn("_inside", F.row_number().over(inside))
-    joined = numbered.join(offsets, [*anchor, "_fine"])
+    joined = join_null_safe(numbered, offsets, [*anchor, "_fine"])
     out = joined.withColumn(name, F.col("_before") + F.col("_inside") - 1)
     return out.select(*[c for c in df.columns if c != "_all"], name)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,14 @@ class AlignmentError(ValueError):
     """The two sides of a positional pairing have different lengths."""
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Equi-join in which a null key meets a null key, so that no group is lost."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    joined = left.join(F.broadcast(renamed) if broadcast else renamed, same, how)
+    return joined.drop(*[f"_right_{k}" for k in keys])
+
+
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Broadcast the small side if it is counted to be small, else join by shuffle."""
     if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:

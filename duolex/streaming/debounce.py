@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duolex.operators.joins import join_null_safe
+
 GAP_SECONDS = 1
 # A time bucket spans this many gaps, so a busy key becomes many small windows.
 BUCKET_GAPS = 4096
@@ -58,7 +60,8 @@ def debounce(
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = gap_seconds * 1_000_000
-    timed = events.select(key, ts, value, order, micros.alias("_at"))
+    # An event without a time has no place in the order, here as in the stream.
+    timed = events.filter(F.col(ts).isNotNull()).select(key, value, order, micros.alias("_at"))
     timed = timed.withColumn("_bucket", F.floor(F.col("_at") / F.lit(gap * BUCKET_GAPS)))
     inside = Window.partitionBy(key, "_bucket").orderBy("_at", order)
     following = timed.withColumn("_next", F.lead("_at").over(inside))
@@ -66,7 +69,7 @@ def debounce(
     ahead = firsts.select(
         key, "_bucket", F.lead("_first").over(Window.partitionBy(key).orderBy("_bucket")).alias("_later")
     )
-    linked = following.join(ahead, [key, "_bucket"])
+    linked = join_null_safe(following, ahead, [key, "_bucket"])
     after = F.coalesce("_next", "_later")
     fires = after.isNull() | (after - F.col("_at") > gap)
     fired_at = F.timestamp_micros(F.col("_at") + gap)

@@ -77,6 +77,18 @@ def test_history_needs_all_keys(spark, tmp_path):
     assert [r.source_text for r in language.read_history(spark, str(path)).collect()] == ["a"]
 
 
+def test_null_groups_are_kept(spark):
+    rows = [(i, None if i % 3 == 0 else "g") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    got = {r.id: r.row_index for r in ix.position_by_id(df, "id", ["g"]).collect()}
+    for group in (None, "g"):
+        assert [got[i] for i, g in rows if g == group] == list(range(sum(g == group for _, g in rows)))
+    split = od.stratified_split(df, ["id"], by="g").groupBy("g", "split").count().collect()
+    assert {(r.g, r.split): r["count"] for r in split} == {
+        (None, "test"): 20, (None, "train"): 80, ("g", "test"): 40, ("g", "train"): 160
+    }
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_positions_by_id(spark, parts):
     # One group holds most of the rows; ids are sparse, some negative, over many buckets.
