@@ -1,8 +1,11 @@
 """Operators of a training-data pipeline, with the queries that apply them to whole tables."""
 
 from duolex.llm import (  # noqa: F401
+    bpe,
+    languages,
     packing,
     sharding,
+    toxicity,
     urls,
 )
 from duolex.llm.common import QUERIES, SQL
