@@ -2,9 +2,11 @@
 
 from duolex.llm import (  # noqa: F401
     bpe,
+    hnsw,
     languages,
     minhash,
     packing,
+    repeats,
     sharding,
     toxicity,
     urls,

@@ -6,6 +6,7 @@ import codecs
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -19,7 +20,10 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: how the vocabulary splits a text before merging, with its notion of white space spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct pieces whose ids a task keeps at hand, pieces handled together, and bytes read beyond the lookahead.
-KEPT_PIECES, PIECES, STEP = 200_000, 1 << 16, 4096
+KEPT_PIECES, PIECES, STEP = 300_000, 1 << 16, 4096
+#: Pieces of up to so many bytes are merged without a heap.
+SHORT = 32
+NEVER = (1 << 60, -1)
 
 
 def byte_symbols() -> list[str]:
@@ -65,6 +69,8 @@ class Merges:
     def merge(self, data: bytes) -> list[int]:
         """Ids of a whole byte string: the merge of lowest rank first, the leftmost of equals."""
         ids = [self.single[b] for b in data]
+        if len(ids) <= SHORT:
+            return self._merge_short(ids)
         n, pairs = len(ids), self.pairs
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(*pairs[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]
@@ -84,6 +90,19 @@ class Merges:
                     heapq.heappush(heap, (rank, x, new, p))
         return [t for t, here in zip(ids, alive) if here]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same by looking at all pairs again after each merge, quicker for a few bytes."""
+        ranked = [self.pairs.get(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranked and (best := min(ranked)) is not NEVER:
+            i = ranked.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranked[i]
+            if i < len(ranked):
+                ranked[i] = self.pairs.get((ids[i], ids[i + 1]), NEVER)
+            if i:
+                ranked[i - 1] = self.pairs.get((ids[i - 1], ids[i]), NEVER)
+        return ids
+
     def stream(self, data: bytes) -> Iterator[list[int]]:
         """The same ids in runs: no more than a step and the lookahead is held at a time.
 
@@ -149,6 +168,12 @@ class Encoder:
         return np.frombuffer(b"".join(parts), dtype="<i4")
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(vocabulary: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(vocabulary)
+
+
 class Decoder:
     """Ids to text: bytes enter a machine that gives out characters as they become complete.
 
@@ -171,7 +196,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_
     repeated ones, stay; other columns are not read."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for frame in frames:
             for a, b in text_blocks(frame["text"], 4_000_000):
                 ids = [encoder(t) for t in frame["text"].iloc[a:b]]
@@ -186,7 +211,7 @@ def decode_ids(rows: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id
     """(key, ids, text): the text of each row's ids, special tokens included; null ids count as none."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(Encoder(vocabulary).tokens)
+        decoder = Decoder(worker_encoder(vocabulary).tokens)
         for frame in frames:
             yield frame.assign(text=[decoder(np.asarray(ids)) for ids in frame["ids"]])
 

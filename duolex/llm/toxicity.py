@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from duolex.llm.common import documents, held_out, query, read, text_blocks
 
 #: Documents of each label in the training sample on average; distinct words of one of them.
-SAMPLE_DOCS, SAMPLE_WORDS = 1500, 2000
+SAMPLE_DOCS, SAMPLE_WORDS = 2000, 2000
 #: Lengths of the n-grams, the rows their hashes share, numbers of an embedding.
-SHORTEST, LONGEST, ROWS, WIDTH = 3, 6, 1 << 17, 8
+SHORTEST, LONGEST, ROWS, WIDTH = 3, 5, 1 << 17, 4
+#: A row takes part in training if the sample's documents hold it so often.
+SEEN = 4
+#: A row's slope is measured against its own size plus this share of the largest one's.
+FLOOR = 0.1
+#: How far a document the model contradicts loses its pull: labels can be wrong.
+DOUBT = 0.7
 THRESHOLD = 0.7
 #: How closely the pooling of word logits follows their maximum.
 SHARPNESS = 4.0
@@ -87,22 +93,24 @@ class Model:
         by_row, shift = self.rows()
         return summed(by_row[grams], bounds) / np.maximum(np.diff(bounds), 1) + shift
 
-    def train(self, docs: list[list[str]], toxic: np.ndarray, steps: int = 120, rate: float = 0.05) -> None:
+    def train(self, docs: list[list[str]], toxic: np.ndarray, steps: int = 90, rate: float = 0.05) -> None:
         """Adam on all documents at once; a document's logit is the softened maximum of its words'."""
         words = sorted({w for d in docs for w in d})
         number = {w: i for i, w in enumerate(words)}
-        grams, bounds = word_grams(words)
-        used, grams = np.unique(grams, return_inverse=True)
-        per_word = np.diff(bounds)
         flat = np.asarray([number[w] for d in docs for w in d], dtype=np.int64)
-        sizes = np.asarray([len(d) for d in docs])
-        ends = np.cumsum(np.concatenate([[0], sizes]))
-        owner = np.repeat(np.arange(len(docs)), sizes)
+        ends = np.cumsum([0] + [len(d) for d in docs])
+        owner = np.repeat(np.arange(len(docs)), np.diff(ends))
+        all_grams, bounds = word_grams(words)
+        word_of_gram = np.repeat(np.arange(len(words)), np.diff(bounds))
+        seen = np.bincount(all_grams, np.bincount(flat, minlength=len(words))[word_of_gram], minlength=ROWS)
+        often = seen[all_grams] >= SEEN
+        used, grams = np.unique(all_grams[often], return_inverse=True)
+        per_word, word_of_gram = np.diff(bounds), word_of_gram[often]
+        bounds = np.searchsorted(word_of_gram, np.arange(len(words) + 1))
         weight = np.where(toxic == 1, 0.5 / max(toxic.sum(), 1), 0.5 / max((1 - toxic).sum(), 1))
         table = self.embedding[used]
         weights = [table, self.out, self.bias]
         moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
-        word_of_gram = np.repeat(np.arange(len(words)), per_word)
         for step in range(1, steps + 1):
             mean = np.stack([summed(table[grams, k], bounds) for k in range(WIDTH)], axis=1) / per_word[:, None]
             logit = mean @ (self.out[:, 1] - self.out[:, 0]) + self.bias[1] - self.bias[0]
@@ -112,7 +120,10 @@ class Model:
             e = np.exp(x - top[owner])
             total = summed(e, ends)
             pooled = (np.log(total) + top) / sharp
-            d_doc = (1 / (1 + np.exp(-pooled)) - toxic) * weight
+            p = sigmoid(pooled)
+            d_doc = (p - toxic) * weight
+            if step > steps // 3:
+                d_doc *= np.where(toxic == 1, p, 1 - p) ** DOUBT
             d_logit = np.bincount(flat, d_doc[owner] * e / total[owner], minlength=len(words))
             out = self.out[:, 1] - self.out[:, 0]
             d_out = mean.T @ d_logit
@@ -126,7 +137,9 @@ class Model:
             for w, (m, v), g in zip(weights, moments, slopes):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                size = np.sqrt(v / (1 - 0.99**step))
+                # Rows of rare n-grams move less: what few documents say is weak evidence.
+                w -= rate * (m / (1 - 0.9**step)) / (size + FLOOR * size.max() + 1e-12)
         # Rows that no sampled word has carry no evidence either way.
         self.embedding[:] = 0
         self.embedding[used] = table
