@@ -3,6 +3,7 @@
 from duolex.llm import (  # noqa: F401
     bpe,
     hnsw,
+    imatch,
     languages,
     minhash,
     packing,
