@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duolex.llm.common import documents, held_out, joined_bytes, query, text_blocks
@@ -189,6 +189,29 @@ def sample_pieces(docs: DataFrame, key: str) -> tuple[list[str], np.ndarray, lis
     return list(rows["piece"]), rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64), languages
 
 
+def language_of(docs: DataFrame, key: str = "doc_id"):
+    """A function from a text column to (lang_pred, score), learned from the rows of `docs` that allow it."""
+    pieces, labels, languages = sample_pieces(docs, key)
+    net = train(pieces, labels, len(languages)) if languages else None
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, letters in batches:
+            said, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+            for a, b in text_blocks(texts, BLOCK) if net is not None else ():
+                p = pooled(net, texts.iloc[a:b])
+                some = letters.iloc[a:b].to_numpy()
+                said[a:b] = np.where(some, np.asarray(languages, dtype=object)[p.argmax(axis=1)], UNKNOWN)
+                score[a:b] = np.where(some, p.max(axis=1), 0.0)
+            yield pd.DataFrame({"lang_pred": said, "score": score})
+
+    def column(text: Column) -> Column:
+        text = F.coalesce(text, F.lit(""))
+        return label(text, text.rlike(r"\p{L}"))
+
+    return column
+
+
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, held_out, lang_pred, score): the language of every whole text.
 
@@ -197,26 +220,9 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Null texts and such without a letter are `und` with score 0, and so is every text if there is
     nothing to learn from. Rows, also repeated ones, stay; other columns are not read.
     """
-    pieces, labels, languages = sample_pieces(docs, key)
-    net = train(pieces, labels, len(languages)) if languages else None
-
-    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a, b in text_blocks(frame["text"], BLOCK):
-                part = frame.iloc[a:b]
-                said, score = [UNKNOWN] * len(part), np.zeros(len(part))
-                if net is not None:
-                    p = pooled(net, list(part["text"]))
-                    best = p.argmax(axis=1)
-                    some = part["letters"].to_numpy()
-                    said = [languages[i] if s else UNKNOWN for i, s in zip(best, some)]
-                    score = np.where(some, p.max(axis=1), 0.0)
-                yield pd.DataFrame({key: part[key], "held_out": part["held_out"], "lang_pred": said, "score": score})
-
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(key, held_out(F.col(key)).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(label, f"`{key}` {kind}, held_out boolean, lang_pred string, score double")
+    said = language_of(docs, key)(F.col("text"))
+    rows = docs.select(key, held_out(F.col(key)).alias("held_out"), said.alias("said"))
+    return rows.select(key, "held_out", "said.lang_pred", "said.score")
 
 
 @query("op10_language")

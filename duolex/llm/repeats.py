@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duolex.llm.common import documents, joined_bytes, query, text_blocks
@@ -242,21 +242,34 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     long = hashed.filter(F.octet_length("text") >= threshold)
     spans = repeated_spans(long.select("digest", "text"), long, threshold)
     whole = docs.select(*names, digest.alias("_digest")).join(spans.withColumnRenamed("digest", "_digest"), "_digest", "left")
+    return whole.withColumn("_cut", cut_spans(text, "spans")).select(*names, "_cut.kept", "_cut.removed")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+
+def cut_spans(text: Column, spans: str) -> Column:
+    @F.pandas_udf("kept binary, removed array<struct<begin:long,end:long>>")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, lists in batches:
             kept, removed = [], []
-            for text, spans in zip(frame["text"], frame["spans"]):
-                data = b"" if text is None else text.encode("utf-8", "surrogatepass")
+            for whole, spans in zip(texts, lists):
+                data = whole.encode("utf-8", "surrogatepass")
                 gone = merged(spans) if spans is not None else []
                 at = [0, *(x for s in gone for x in s), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(at[::2], at[1::2])))
                 removed.append([{"begin": a, "end": b} for a, b in gone])
-            yield pd.DataFrame({"row": frame["row"], "kept": kept, "removed": removed})
+            yield pd.DataFrame({"kept": kept, "removed": removed})
+
+    return cut(text, spans)
+
+
+def readable(kept: str) -> Column:
+    """Remaining bytes as text, without the parts of characters that a cut went through."""
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(lambda data: bytes(data).decode("utf-8", "ignore"))
 
-    packed = whole.select(F.struct(*names).alias("row"), "text" if "text" in names else F.lit(None), "spans")
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, kept binary, removed array<struct<begin:long,end:long>>"
-    return packed.mapInPandas(cut, schema).select("row.*", "kept", "removed")
+    return decode(kept)
 
 
 @query("op5_suffix_dedup")

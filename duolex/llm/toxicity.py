@@ -197,6 +197,35 @@ def train(docs: list[list[str]], toxic: np.ndarray) -> Model | None:
     return model
 
 
+def toxicity_of(docs: DataFrame, labels: DataFrame, key: str = "doc_id"):
+    """A function from a text column to a score, learned from the labelled rows that allow it."""
+    model = train(*sample(docs, labels, key))
+    state = None if model is None else (model.rows(), model.scale, model.shift)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept: dict[str, float] = {}
+        for texts in batches:
+            scores = np.zeros(len(texts))
+            for a, b in text_blocks(texts, 2_000_000) if state is not None else ():
+                (by_row, base), scale, shift = state
+                bags = [set(t.split()) for t in texts.iloc[a:b]]
+                if len(kept) > KEPT_WORDS:
+                    kept.clear()
+                fresh = list(set().union(*bags).difference(kept))
+                for i in range(0, len(fresh), TOGETHER):
+                    words = fresh[i : i + TOGETHER]
+                    grams, bounds = word_grams(words)
+                    logit = summed(by_row[grams], bounds) / np.maximum(np.diff(bounds), 1) + base
+                    kept.update(zip(words, logit.tolist()))
+                best = np.asarray([max(map(kept.__getitem__, bag), default=-np.inf) for bag in bags])
+                some = np.isfinite(best)
+                scores[a:b] = np.where(some, sigmoid(scale * np.where(some, best, 0.0) + shift), 0.0)
+            yield pd.Series(scores)
+
+    return lambda text: score(F.coalesce(text, F.lit("")))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, held_out, score, predicted): toxicity of every whole text, 0 to 1.
 
@@ -205,33 +234,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold:
     text if fewer than two labels occur. Rows, also repeated ones, stay; other columns of either
     table are not read.
     """
-    model = train(*sample(docs, labels, key))
-    state = None if model is None else (model.rows(), model.scale, model.shift)
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, float] = {}
-        for frame in frames:
-            for a, b in text_blocks(frame["text"], 2_000_000):
-                part = frame.iloc[a:b]
-                scores = np.zeros(len(part))
-                if state is not None:
-                    (by_row, base), scale, shift = state
-                    bags = [set(t.split()) for t in part["text"]]
-                    if len(kept) > KEPT_WORDS:
-                        kept.clear()
-                    fresh = list({w for bag in bags for w in bag if w not in kept})
-                    for i in range(0, len(fresh), TOGETHER):
-                        words = fresh[i : i + TOGETHER]
-                        grams, bounds = word_grams(words)
-                        logit = summed(by_row[grams], bounds) / np.maximum(np.diff(bounds), 1) + base
-                        kept.update(zip(words, logit.tolist()))
-                    best = np.asarray([max(map(kept.__getitem__, bag), default=-np.inf) for bag in bags])
-                    scores = np.where(np.isinf(best), 0.0, sigmoid(scale * np.where(np.isinf(best), 0, best) + shift))
-                yield pd.DataFrame({key: part[key], "held_out": part["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
-
-    rows = docs.select(key, held_out(F.col(key)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(score, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    score = toxicity_of(docs, labels, key)(F.col("text"))
+    rows = docs.select(key, held_out(F.col(key)).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 @query("op3_toxicity")
