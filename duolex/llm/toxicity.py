@@ -19,8 +19,6 @@ SHORTEST, LONGEST, ROWS, WIDTH = 3, 5, 1 << 17, 4
 SEEN = 4
 #: A row's slope is measured against its own size plus this share of the largest one's.
 FLOOR = 0.1
-#: How far a document the model contradicts loses its pull: labels can be wrong.
-DOUBT = 0.7
 THRESHOLD = 0.7
 #: How closely the pooling of word logits follows their maximum.
 SHARPNESS = 4.0
@@ -50,7 +48,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n >= SHORTEST:
             at = np.flatnonzero(left >= n)
             mixed = rolling[at] ^ (rolling[at] >> np.uint64(29))
-            grams.append(((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 17)).astype(np.int64))
+            grams.append(((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (ROWS.bit_length() - 1))).astype(np.int64))
             owners.append(owner[at])
     owners, grams = np.concatenate(owners), np.concatenate(grams)
     order = np.argsort(owners, kind="stable")
@@ -120,10 +118,7 @@ class Model:
             e = np.exp(x - top[owner])
             total = summed(e, ends)
             pooled = (np.log(total) + top) / sharp
-            p = sigmoid(pooled)
-            d_doc = (p - toxic) * weight
-            if step > steps // 3:
-                d_doc *= np.where(toxic == 1, p, 1 - p) ** DOUBT
+            d_doc = (sigmoid(pooled) - toxic) * weight
             d_logit = np.bincount(flat, d_doc[owner] * e / total[owner], minlength=len(words))
             out = self.out[:, 1] - self.out[:, 0]
             d_out = mean.T @ d_logit
