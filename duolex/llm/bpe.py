@@ -154,7 +154,7 @@ class Encoder:
         while pieces := list(islice(found, PIECES)):
             if len(kept) > KEPT_PIECES:
                 kept.clear()
-            for piece in set(pieces) - kept.keys():
+            for piece in set(pieces).difference(kept):
                 kept[piece] = self._piece(piece)
             yield b"".join(map(kept.__getitem__, pieces))
 
@@ -191,20 +191,24 @@ class Decoder:
         return "".join(parts) + machine.decode(b"", True)
 
 
-def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
-    """(key, ids): token ids of each whole text. A null or empty text has no ids; rows, also
-    repeated ones, stay; other columns are not read."""
+def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(key, ids): token ids of each whole text; `decoded` adds `text`, what these ids decode to.
+
+    A null or empty text has no ids; rows, also repeated ones, stay; other columns are not read.
+    """
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = worker_encoder(vocabulary)
+        decoder = Decoder(encoder.tokens)
         for frame in frames:
-            for a, b in text_blocks(frame["text"], 4_000_000):
+            for a, b in text_blocks(frame["text"], 2_000_000):
                 ids = [encoder(t) for t in frame["text"].iloc[a:b]]
-                yield pd.DataFrame({key: frame[key].iloc[a:b], "ids": ids})
+                out = pd.DataFrame({key: frame[key].iloc[a:b], "ids": ids})
+                yield out.assign(text=[decoder(i) for i in ids]) if decoded else out
 
     rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(encode, f"`{key}` {kind}, ids array<int>")
+    return rows.mapInPandas(encode, f"`{key}` {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def decode_ids(rows: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
@@ -213,7 +217,9 @@ def decode_ids(rows: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(worker_encoder(vocabulary).tokens)
         for frame in frames:
-            yield frame.assign(text=[decoder(np.asarray(ids)) for ids in frame["ids"]])
+            for a in range(0, len(frame), 512):
+                part = frame.iloc[a : a + 512]
+                yield part.assign(text=[decoder(np.asarray(ids)) for ids in part["ids"]])
 
     kind = rows.schema[key].dataType.simpleString()
     rows = rows.select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
@@ -222,7 +228,7 @@ def decode_ids(rows: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id
 
 @query("op8_bpe")
 def op8_bpe(spark, sf_dir):
-    rows = decode_ids(encode_texts(documents(spark, sf_dir)))
+    rows = encode_texts(documents(spark, sf_dir), decoded=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
