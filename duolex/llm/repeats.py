@@ -241,8 +241,10 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # Only texts of the threshold's length have windows at all.
     long = hashed.filter(F.octet_length("text") >= threshold)
     spans = repeated_spans(long.select("digest", "text"), long, threshold)
-    whole = docs.select(*names, digest.alias("_digest")).join(spans.withColumnRenamed("digest", "_digest"), "_digest", "left")
-    return whole.withColumn("_cut", cut_spans(text, "spans")).select(*names, "_cut.kept", "_cut.removed")
+    # The columns of docs travel as one, so that none of their names can meet those in use here.
+    whole = docs.select(F.struct(*names).alias("row"), text.alias("text"), digest.alias("digest")).join(spans, "digest", "left")
+    whole = whole.select("row", cut_spans(F.col("text"), "spans").alias("cut"))
+    return whole.select("row.*", "cut.kept", "cut.removed")
 
 
 def cut_spans(text: Column, spans: str) -> Column:
