@@ -6,7 +6,7 @@ hash is smallest (its anchor), wherever that lies: equal windows have equal anch
 places, neighbouring windows mostly share one, and so neighbours enter the sort as one block. The
 further digits are the bytes all windows of a block share; a block whose digit nobody else has
 leaves the sort, one that is equal to another as a whole is settled, and the others are cut into
-smaller blocks for the next pass, down to single windows. Digits are compared by 128-bit hashes.
+smaller blocks for the next pass, down to single windows. Equality is that of 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ GRAM = 48
 #: Windows of a block in the passes after the first.
 CELLS = (32, 4, 1)
 #: Characters of short texts, or windows of a long one, that are worked on together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _rng = np.random.default_rng(40)
 _tables = [_rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -52,14 +52,14 @@ class Rolling:
 
 
 def blocks(data: np.ndarray, ends: np.ndarray, threshold: int):
-    """(text, first, last, anchor, digit, whole, whole2) of all runs of windows with one anchor.
+    """(text, first, last, anchor, digit, whole) of all runs of windows with one anchor.
 
     first and last are the starts of the run's windows in `data`, anchor the place of the anchor,
-    digit its hash, and the last two a 128-bit hash of all bytes the run covers and its place in them.
+    digit its hash, and `whole` another one of all bytes the run covers and its place in them.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < threshold:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     gram = min(GRAM, threshold)
     width = threshold - gram + 1
     one, two = Rolling(data, 0), Rolling(data, 1)
@@ -87,12 +87,15 @@ def blocks(data: np.ndarray, ends: np.ndarray, threshold: int):
     first, last = start[begin], start[np.append(new, len(start)) - 1]
     anchor, text = anchor[begin], text[begin]
     place = (anchor - first).astype(np.uint64) * np.uint64(1 << 32) + (last - first).astype(np.uint64)
-    whole, whole2 = (mix(r(first, last + threshold) ^ mix(place + np.uint64(i))) for i, r in enumerate((one, two)))
-    return text, first, last, anchor, hashes[anchor], whole, whole2
+    whole = mix(two(first, last + threshold) ^ mix(place))
+    return text, first, last, anchor, hashes[anchor], whole
 
 
 def first_pass(texts: DataFrame, threshold: int) -> DataFrame:
-    """(digest, first, last, anchor, digit, whole, whole2) of every block of every text of (digest, text)."""
+    """(digest, first, place, digit, whole) of every block of every text of (digest, text, ...).
+
+    `place` packs how many windows follow the first and how far on the anchor lies.
+    """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -106,21 +109,18 @@ def first_pass(texts: DataFrame, threshold: int) -> DataFrame:
                     parts = [(c, data[c : c + BLOCK + threshold - 1], None) for c in cuts]
                 for shift, part, bounds in parts:
                     bounds = np.asarray([0, len(part)]) if bounds is None else bounds
-                    text, first, last, anchor, digit, whole, whole2 = blocks(part, bounds, threshold)
-                    at = bounds[text] - shift
+                    text, first, last, anchor, digit, whole = blocks(part, bounds, threshold)
                     yield pd.DataFrame(
                         {
                             "digest": digest[text],
-                            "first": first - at,
-                            "last": last - at,
-                            "anchor": anchor - at,
+                            "first": first - bounds[text] + shift,
+                            "place": (last - first) << 16 | (anchor - first),
                             "digit": digit.view(np.int64),
                             "whole": whole.view(np.int64),
-                            "whole2": whole2.view(np.int64),
                         }
                     )
 
-    return texts.mapInPandas(work, "digest binary, first long, last long, anchor long, digit long, whole long, whole2 long")
+    return texts.select("digest", "text").mapInPandas(work, "digest binary, first long, place long, digit long, whole long")
 
 
 def cells_of(first: int, last: int, anchor: int, size: int) -> Iterator[tuple[int, int, int]]:
@@ -150,7 +150,7 @@ def cell_pass(stored: DataFrame, size: int, threshold: int) -> DataFrame:
                     rows.append((r.digest, first, last, r.anchor, r.weight, digit, whole))
             yield pd.DataFrame(rows, columns=["digest", "first", "last", "anchor", "weight", "digit", "whole"])
 
-    schema = "digest binary, first long, last long, anchor long, weight long, digit binary, whole binary"
+    schema = "digest binary, first long, last long, anchor long, weight double, digit binary, whole binary"
     return stored.select("digest", "first", "last", "anchor", "weight", "digit", "bytes").mapInPandas(work, schema)
 
 
@@ -160,52 +160,58 @@ def contested(kinds: DataFrame) -> DataFrame:
     return kinds.join(shared, "digit")
 
 
-def repeated_spans(texts: DataFrame, ids: DataFrame, threshold: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, threshold: int) -> DataFrame:
     """(digest, spans): for every text with any, the stretches (begin, end) of bytes that repeated windows cover.
 
-    `texts`: (digest, text) of all documents; `ids`: (digest, id, text), from which one row of each
-    digest is picked.
+    `texts`: (digest, id, text) of all documents.
     """
     rows = materialize(first_pass(texts, threshold), "blocks")
-    kinds = rows.groupBy("digit", "whole", "whole2").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("digest", "first", "last", "anchor")).alias("at")
+    digits = rows.groupBy("digit").agg(
+        F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")
     )
+    digits = digits.filter("n > 1").select("digit", (F.col("low") != F.col("high")).alias("differ"))
+    last = F.col("first") + F.shiftright("place", 16)
+    anchor = F.col("first") + F.col("place").bitwiseAND(0xFFFF)
+    shared = rows.join(digits, "digit").select("digest", "first", last.alias("last"), anchor.alias("anchor"), "digit", "whole", "differ")
+    shared = materialize(shared, "shared-blocks")
+    # Where all blocks of a digit are equal, all are settled at once.
+    spans = [shared.filter("NOT differ").select("digest", "first", "last")]
+
+    unlike = shared.filter("differ")
+    kinds = unlike.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("digest", "first", "last", "anchor")).alias("at"))
     kinds = materialize(kinds, "block-kinds")
-    settled = rows.join(kinds.filter("weight > 1").select("digit", "whole", "whole2"), ["digit", "whole", "whole2"])
-    spans = [settled.select("digest", "first", "last")]
-
-    open_blocks = contested(kinds).select("at.*", "weight", F.unhex(F.hex("digit")).alias("digit"))
-    wanted = open_blocks.groupBy("digest").agg(F.collect_list(F.struct("first", "last", "anchor", "weight", "digit")).alias("cut"))
-    picked = ids.groupBy("digest").agg(F.min("id").alias("id"))
-    wanted = wanted.join(picked, "digest").join(ids, ["digest", "id"])
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for digest, text, pieces in zip(frame["digest"], frame["text"], frame["cut"]):
-                data = text.encode("utf-8", "surrogatepass")
-                out = [(digest, p["first"], p["last"], p["anchor"], p["weight"], p["digit"], data[p["first"] : p["last"] + threshold]) for p in pieces]
-                yield pd.DataFrame(out, columns=["digest", "first", "last", "anchor", "weight", "digit", "bytes"])
-
-    schema = "digest binary, first long, last long, anchor long, weight long, digit binary, bytes binary"
-    stored = wanted.select("digest", "text", "cut").mapInPandas(cut, schema)
-    # Rows repeated as a whole would count their blocks twice.
-    stored = materialize(stored.dropDuplicates(["digest", "anchor", "first"]), "open-blocks")
+    spans.append(unlike.join(kinds.filter("weight > 1").select("digit", "whole"), ["digit", "whole"]).select("digest", "first", "last"))
+
+    # Of each kind of block one is looked at more closely, in one of the rows with its text; if
+    # several rows are equal as a whole, each of them brings its share of the block's weight.
+    cut = kinds.select("at.*", "weight", F.unhex(F.hex("digit")).alias("digit"))
+    cut = cut.groupBy("digest").agg(F.collect_list(F.struct("first", "last", "anchor", "weight", "digit")).alias("cut"))
+    alike = texts.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("alike"))
+    alike = alike.groupBy("digest").agg(F.min(F.struct("id", "alike")).alias("row"))
+    wanted = cut.join(alike, "digest").select("digest", "row.*", "cut").join(texts, ["digest", "id"])
+    pieces = wanted.select("digest", "alike", F.col("text").cast("binary").alias("data"), F.explode("cut").alias("c"))
+    stored = pieces.select(
+        "digest", "alike", "c.first", "c.last", "c.anchor", (F.col("c.weight") / F.col("alike")).alias("weight"), "c.digit",
+        F.expr(f"substring(data, int(c.first) + 1, int(c.last - c.first) + {threshold})").alias("bytes"),
+    )
+    stored = materialize(stored, "open-blocks")
     for size in CELLS:
         cells = materialize(cell_pass(stored, size, threshold), f"cells-{size}")
         kinds = cells.groupBy("digit", "whole").agg(
             F.sum("weight").alias("total"), F.count(F.lit(1)).alias("blocks"), F.min(F.struct("digest", "anchor", "first", "last")).alias("at")
         )
         kinds = materialize(kinds, f"cell-kinds-{size}")
-        equal = kinds.filter("total > 1").select("digit", "whole")
-        spans.append(cells.filter("weight = 1").join(equal, ["digit", "whole"]).select("digest", "first", "last"))
+        # Shares of a weight add up to whole numbers, but for rounding.
+        equal = kinds.filter("total > 1.5").select("digit", "whole")
+        spans.append(cells.filter("weight < 1.5").join(equal, ["digit", "whole"]).select("digest", "first", "last"))
         if size > 1:
-            rest = contested(kinds).select("at.*", F.col("total").alias("weight"), "digit")
-            whole = stored.select("digest", "anchor", F.col("first").alias("_first"), "bytes")
+            rest = contested(kinds).select("at.*", "total", "digit")
+            whole = stored.select("digest", "anchor", "alike", F.col("first").alias("_first"), "bytes")
             piece = F.expr(f"substring(bytes, int(first - _first) + 1, int(last - first) + {threshold})")
             stored = materialize(
                 rest.join(whole, ["digest", "anchor"])
                 .filter(F.expr(f"first >= _first AND last + {threshold} <= _first + length(bytes)"))
-                .select("digest", "first", "last", "anchor", "weight", "digit", piece.alias("bytes")),
+                .select("digest", "alike", "first", "last", "anchor", (F.col("total") / F.col("alike")).alias("weight"), "digit", piece.alias("bytes")),
                 f"open-cells-{size}",
             )
     every = spans[0]
@@ -240,7 +246,7 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     hashed = docs.select(digest.alias("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), text.alias("text"))
     # Only texts of the threshold's length have windows at all.
     long = hashed.filter(F.octet_length("text") >= threshold)
-    spans = repeated_spans(long.select("digest", "text"), long, threshold)
+    spans = repeated_spans(long, threshold)
     # The columns of docs travel as one, so that none of their names can meet those in use here.
     whole = docs.select(F.struct(*names).alias("row"), text.alias("text"), digest.alias("digest")).join(spans, "digest", "left")
     whole = whole.select("row", cut_spans(F.col("text"), "spans").alias("cut"))

@@ -267,12 +267,12 @@ def test_long_texts_hash_in_parts(monkeypatch):
 
 def test_unlike_members_of_a_hot_bucket_meet(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 4)
-    marks = np.random.default_rng(1).integers(0, 256, (20, minhash.COORDINATES)).astype(np.uint8)
+    marks = np.random.default_rng(1).integers(0, 256, (20, minhash.FINE)).astype(np.uint8)
     marks[7], marks[13] = marks[2], marks[2]
-    members = [(0, 5, f"d{i:02}", f"d{i:02}", marks[i].tobytes(), 20) for i in range(20)]
-    df = spark.createDataFrame(members, "band int, key long, digest string, root string, marks binary, size long")
-    found = {(r["a"], r["b"]) for r in rows(minhash.unlike_parts(df))}
-    assert found == {("d02", "d07"), ("d02", "d13"), ("d07", "d13")}
+    members = [(5, i, i, marks[i].tobytes(), 20) for i in range(20)]
+    df = spark.createDataFrame(members, "key long, class long, root long, marks binary, size long")
+    found = {(r["a"], r["b"]) for r in rows(minhash.unlike_parts(df, 80))}
+    assert found == {(2, 7), (2, 13), (7, 13)}
 
 
 # Repeated windows
