@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from duolex.llm.common import documents, held_out, query, read, text_blocks
 
 #: Documents of each label in the training sample on average; distinct words of one of them.
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 2000
+SAMPLE_DOCS, SAMPLE_WORDS = 1000, 1000
 #: Lengths of the n-grams, the rows their hashes share, numbers of an embedding.
 SHORTEST, LONGEST, ROWS, WIDTH = 3, 5, 1 << 17, 4
 #: A row takes part in training if the sample's documents hold it so often.
