@@ -8,6 +8,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,11 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: how the vocabulary splits a text before merging, with its notion of white space spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct pieces whose ids a task keeps at hand, pieces handled together, and bytes read beyond the lookahead.
-KEPT_PIECES, PIECES, STEP = 300_000, 1 << 16, 4096
+KEPT_PIECES, PIECES, STEP = 800_000, 1 << 16, 4096
 #: Pieces of up to so many bytes are merged without a heap.
 SHORT = 32
+#: Characters of a text whose pieces are listed at once.
+LONG = 1 << 20
 NEVER = (1 << 60, -1)
 
 
@@ -146,10 +149,13 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(np.asarray(run, dtype="<i4").tobytes() for run in self.merges.stream(piece.encode("utf-8")))
+        data = piece.encode("utf-8")
+        runs = self.merges.stream(data) if len(data) > SHORT else [self.merges.merge(data)]
+        return b"".join(pack(f"<{len(run)}i", *run) for run in runs)
 
     def _segment(self, text: str) -> Iterator[bytes]:
-        found = (m.group() for m in self.pieces.finditer(text))
+        # One by one for a long text, so that its pieces are never held together.
+        found = iter(self.pieces.findall(text)) if len(text) <= LONG else (m.group() for m in self.pieces.finditer(text))
         kept = self.kept
         while pieces := list(islice(found, PIECES)):
             if len(kept) > KEPT_PIECES:
