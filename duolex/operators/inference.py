@@ -58,17 +58,19 @@ def translate(
 ) -> DataFrame:
     """Add a translation per row; the translator sees prompts in batches.
 
-    A batch that fails keeps its rows: with '' under 'empty', with the error under 'message'.
+    A batch that fails keeps its rows: with '' under 'empty', with the error under 'message'. A
+    null text is an empty one.
     """
     if on_error not in ("empty", "message"):
         raise ValueError("on_error is 'empty' or 'message'")
-    prompted = df.withColumn("_prompt", make_prompt("source_lang", "target_lang", text))
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
+    filled = [F.coalesce(F.col(c), F.lit("")) for c in ("source_lang", "target_lang", text)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only prompts go through Python; all other columns stay as they are.
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_translator()
-        for frame in batches:
-            prompts = frame.pop("_prompt").tolist()
+        for given in batches:
+            prompts = given.tolist()
             done: list[str] = []
             for i in range(0, len(prompts), batch_size):
                 batch = prompts[i : i + batch_size]
@@ -79,10 +81,9 @@ def translate(
                 except Exception as error:  # noqa: BLE001 - any model failure is a row value
                     made = ["" if on_error == "empty" else f"{ERROR_PREFIX}{error}"] * len(batch)
                 done.extend(made)
-            frame[output] = done
-            yield frame
+            yield pd.Series(done, dtype=object)
 
-    return prompted.mapInPandas(run, schema)
+    return df.withColumn(output, run(make_prompt(*filled)))
 
 
 def identity_translator() -> Translator:

@@ -19,8 +19,6 @@ from duolex.sources.lines import read_lines
 from duolex.sources.pairs import read_parquet_pair, read_side, side_path, write_pair
 from duolex.sources.tables import write_splits
 
-MAX_ROWS = 230_000
-
 
 def score_pairs(pairs: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
     """Drop identical pairs, then add the similarity of both sides' vectors as `score`.
@@ -69,11 +67,11 @@ def load_datasets(
     names: Sequence[str],
     source_lang: str,
     target_lang: str,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
     start: int = 0,
     first_complete: bool = False,
 ) -> DataFrame:
-    """Tagged pairs of the listed data sets under one row budget.
+    """Tagged pairs of the listed data sets, all of them or under one row budget.
 
     File footers tell how many rows each data set has, so every quota is known before any text
     is read, and reaches both sides of the positional join as a range filter.
@@ -84,7 +82,7 @@ def load_datasets(
     available = [max(0, _rows(spark, *pair) - start) for pair in paths]
     named = [
         (name, read_parquet_pair(spark, *pair, start=start, num=quota))
-        for name, pair, quota in zip(names, paths, ds.quotas(available, max_rows, first_complete))
+        for name, pair, quota in zip(names, paths, ds.quotas(available, sum(available) if max_rows is None else max_rows, first_complete))
         if quota > 0
     ]
     if not named:
@@ -118,17 +116,18 @@ def prepare_pairs(
     Normalizing does not look at the direction, so it runs once per pair, before mirroring.
     With `leak_free` so does the split: both directions of a pair land on one side, and the
     strata keep their exact sizes, as each direction's stratum is an image of the other's.
-    Without it the mirrored rows are split one by one.
+    Without it the mirrored rows are split one by one. `position` is the place in the shuffle.
     """
     clean = materialize(fl.normalize_pairs(pairs, repair), "normalized")
     if leak_free:
         rows = fl.mirror(od.stratified_split(clean, keys, test_size=test_size, seed=seed))
     else:
         rows = od.stratified_split(fl.mirror(clean), [*keys, "direction"], test_size=test_size, seed=seed)
-    return od.shuffle(rows, [*keys, "direction"], seed, partitions)
+    placed = od.shuffle_positions(rows, [*keys, "direction"], seed)
+    return od.shuffle(placed, [*keys, "direction"], seed, partitions)
 
 
-def prepare_corpus(spark: SparkSession, base: str, names: Sequence[str], source_lang: str, target_lang: str, output: str, max_rows: int = MAX_ROWS, start: int = 0, first_complete: bool = False, **options) -> DataFrame:
+def prepare_corpus(spark: SparkSession, base: str, names: Sequence[str], source_lang: str, target_lang: str, output: str, max_rows: int | None = None, start: int = 0, first_complete: bool = False, **options) -> DataFrame:
     """Listed data sets to train and test tables; returns the rows per data set that survived."""
     pairs = load_datasets(spark, base, names, source_lang, target_lang, max_rows, start, first_complete)
     prepared = prepare_pairs(pairs, **options)

@@ -61,6 +61,8 @@ def evaluate_translations(
     # A model run is worth more than a write: a lost executor must not start it again.
     translated = materialize(translated, "translated").withColumnRenamed("target", "reference")
     rows = meteor_row(translated, key, carry=by)
+    if output:
+        rows = materialize(rows, "row-scores")
     scores = meteor_corpus(rows, by)
     if output:
         tb.write_metrics(meteor_corpus(rows).select("meteor"), output)

@@ -22,6 +22,8 @@ TAGGED_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("source", "target", "source_lang", "target_lang")]
 )
 INDEX_COLUMN = "__index_level_0__"
+# What Spark says of a file that is no Parquet; any other error, such as a refused access, is raised.
+UNREADABLE = ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA")
 
 
 def _parquet_files(spark: SparkSession, path: str) -> list[str]:
@@ -45,7 +47,9 @@ def read_dir(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     for entry in _parquet_files(spark, path):
         try:
             found = spark.read.parquet(entry).schema
-        except Exception as error:  # noqa: BLE001 - any unreadable entry is skipped
+        except Exception as error:  # noqa: BLE001 - told apart by what it says
+            if not any(sign in str(error) for sign in UNREADABLE):
+                raise
             log.warning("skipped %s: %s", entry, str(error).splitlines()[0])
             continue
         kept = tuple((f.name, f.dataType.simpleString()) for f in found if f.name in columns)
@@ -69,6 +73,10 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str) -> None:
+    """One folder per split. Rows with a `position` lie in its order inside each file."""
+    if "position" in df.columns:
+        # The writer sorts by split where rows don't come so, and may lose the order within it.
+        df = df.sortWithinPartitions("split", "position")
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 

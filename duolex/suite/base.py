@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duolex.operators.datasets import union_datasets
-from duolex.operators.filters import tag_languages
 from duolex.operators.indexing import position_by_id
 from duolex.operators.joins import zip_rows
 from duolex.session import materialize, ship_package
@@ -60,23 +59,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_index, source, target, source_lang, target_lang, dataset, ordinal): the i-th
-    document of one language with the i-th of another, for two pairs of languages.
+    """(row_index, source, target, source_lang, target_lang, dataset, ordinal): every document
+    with the next one by id, the last with the first; a data set for each source language.
 
     Stored, as pairs are at rest before anything is done with them.
     """
-    placed = position_by_id(documents(spark, sf_dir).select("doc_id", "lang", "text"), "doc_id", ["lang"])
-
-    def side(lang: str, name: str) -> DataFrame:
-        return placed.filter(F.col("lang") == lang).select("row_index", F.col("text").alias(name))
-
-    zipped = union_datasets(
-        [(f"{a}-{b}", tag_languages(zip_rows(side(a, "source"), side(b, "target")), a, b)) for a, b in PAIRED]
-    )
-    return materialize(zipped, "pairs")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    placed = materialize(position_by_id(docs, "doc_id"), "placed")
+    rows = placed.count()
+    source = placed.select("row_index", F.col("text").alias("source"), F.col("lang").alias("source_lang"))
+    before = F.pmod(F.col("row_index") - 1, F.lit(max(rows, 1)))
+    target = placed.select(before.alias("row_index"), F.col("text").alias("target"), F.col("lang").alias("target_lang"))
+    zipped = materialize(zip_rows(source, target), "zipped")
+    return materialize(union_datasets([(a, zipped.filter(F.col("source_lang") == a)) for a in LANGUAGES]), "pairs")
 
 
 PAIRS = """
+placed AS (SELECT lang, text, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n
+           FROM documents),
+pairs AS (
+  SELECT s.row_index, s.text AS source, t.text AS target, s.lang AS source_lang, t.lang AS target_lang, s.lang AS dataset
+  FROM placed s JOIN placed t ON t.row_index = (s.row_index + 1) % s.n)
+"""
+
+# The i-th document of one language with the i-th of another; a surplus on one side is dropped.
+SIDES = """
 placed AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_index
            FROM documents),
 pairs AS (

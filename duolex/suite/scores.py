@@ -125,6 +125,37 @@ def evaluate(spark, d):
     return scores.withColumn("meteor", F.round("meteor", 6))
 
 
+@query(
+    "evaluate_output",
+    f"""WITH {b.PAIRS}, {EVALUATED}, {meteor_sql('keyed', 'source_lang, target_lang,')}
+        SELECT round(avg(meteor), 6) AS meteor FROM scored""",
+)
+def evaluate_output(spark, d):
+    path = scratch_path(spark, "scores")
+    keyed = b.pairs(spark, d).withColumn("row_id", F.concat_ws("-", "dataset", "row_index"))
+    language.evaluate_translations(keyed, inf.identity_translator, "row_id", output=path)
+    return spark.read.schema("meteor double").json(path).withColumn("meteor", F.round("meteor", 6))
+
+
+WIDE_KEY = "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 9007199254740992 + doc_id END"
+
+
+@query(
+    "translate_nullable",
+    f"""SELECT doc_id, {WIDE_KEY} AS wide, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS source, lang AS source_lang,
+               'xx' AS target_lang, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS prediction FROM documents""",
+)
+def translate_nullable(spark, d):
+    docs = b.documents(spark, d).select(
+        "doc_id",
+        F.expr(WIDE_KEY).alias("wide"),
+        F.expr("CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END").alias("source"),
+        F.col("lang").alias("source_lang"),
+        F.lit("xx").alias("target_lang"),
+    )
+    return inf.translate(docs, inf.identity_translator)
+
+
 def letter_encoder():
     """Counts of the letters a to z; a model plain enough for SQL to repeat."""
 
@@ -140,7 +171,7 @@ def _letters(e: str) -> str:
 
 @query(
     "clean_corpus",
-    f"""WITH {b.PAIRS},
+    f"""WITH {b.SIDES},
         lined AS (SELECT row_index, {b.sql_strip(st.FLAT.replace('text', 'source'))} AS source,
                          {b.sql_strip(st.FLAT.replace('text', 'target'))} AS target FROM pairs WHERE dataset = 'en-de'),
         differing AS (SELECT *, {_letters('source')} AS x, {_letters('target')} AS y FROM lined WHERE source <> target),
@@ -199,7 +230,6 @@ def build_examples(spark, d):
     return made.withColumns(lists)
 
 
-CORPUS_BUDGET = 90
 EARLY = "source < 'src15'"
 
 
@@ -209,11 +239,9 @@ EARLY = "source < 'src15'"
         placed AS (SELECT *, row_number() OVER (PARTITION BY dataset, lang ORDER BY doc_id) - 1 AS row_index FROM named),
         zipped AS (SELECT s.dataset, s.row_index, s.text AS source, t.text AS target, 'en' AS source_lang, 'de' AS target_lang
                    FROM placed s JOIN placed t USING (dataset, row_index) WHERE s.lang = 'en' AND t.lang = 'de' AND row_index >= 2),
-        ahead AS (SELECT count(*) AS n FROM zipped WHERE dataset = 'early'),
-        pairs AS (SELECT * FROM zipped WHERE dataset = 'early' AND row_index < 2 + {CORPUS_BUDGET}
-                  UNION ALL SELECT z.* FROM zipped z, ahead WHERE dataset = 'late' AND row_index < 2 + greatest({CORPUS_BUDGET} - n, 0)),
+        pairs AS (SELECT * FROM zipped),
         {st.MIRRORED[len(b.PAIRS) + 2:]}
-        SELECT {st.TAGGED}, split FROM both_ways""",
+        SELECT {st.TAGGED}, split, {st.POSITION} FROM both_ways""",
 )
 def prepare_corpus(spark, d):
     base, output = scratch_path(spark, "base"), scratch_path(spark, "prepared")
@@ -222,10 +250,8 @@ def prepare_corpus(spark, d):
         for lang in ("en", "de"):
             side = docs.filter(chosen & (F.col("lang") == lang)).orderBy("doc_id").select(F.col("text").alias(lang))
             side.write.parquet(pr.side_path(f"{base}/{name}", name, lang))
-    corpus.prepare_corpus(
-        spark, base, ["early", "late"], "en", "de", output, max_rows=CORPUS_BUDGET, start=2, repair=False
-    )
-    return tb.read_splits(spark, output).select(*tb.TAGGED_SCHEMA.fieldNames(), "split")
+    corpus.prepare_corpus(spark, base, ["early", "late"], "en", "de", output, start=2)
+    return tb.read_splits(spark, output).select(*tb.TAGGED_SCHEMA.fieldNames(), "split", "position")
 
 
 @query(
@@ -237,7 +263,7 @@ def prepare_corpus(spark, d):
 )
 def build_dictionary(spark, d):
     splits, names, output = (scratch_path(spark, n) for n in ("splits", "names", "dictionaries"))
-    tb.write_splits(corpus.prepare_pairs(b.pairs(spark, d), repair=False), splits)
+    tb.write_splits(corpus.prepare_pairs(b.pairs(spark, d)), splits)
     listed = spark.createDataFrame([(i, i, i) for i in b.NAMED.values()], tb.LANGUAGE_SCHEMA)
     array = listed.agg(F.to_json(F.collect_list(F.struct(*listed.columns))).alias("value"))
     array.write.text(names)

@@ -125,7 +125,7 @@ def incremental_frequency(spark, d):
 def stream_normalize(spark, d):
     docs = b.documents(spark, d)
     path, output = _split_files(docs, spark, "doc_id"), scratch_path(spark, "normal")
-    live = _stream(spark, path, docs.schema, 1).select("doc_id", tx.normalize_text("text", repair=False).alias("text"))
+    live = _stream(spark, path, docs.schema, 1).select("doc_id", tx.normalize_text("text").alias("text"))
     clean = drop_empty(live, "text", "text")
     drain(clean, output=output)
     return spark.read.schema(clean.schema).parquet(output)

@@ -51,7 +51,7 @@ def _write_sides(spark, d, folder):
 
 @query(
     "read_parquet_pair",
-    f"WITH {b.PAIRS} SELECT row_index, source, target FROM pairs WHERE dataset = 'en-de'",
+    f"WITH {b.SIDES} SELECT row_index, source, target FROM pairs WHERE dataset = 'en-de'",
 )
 def read_parquet_pair(spark, d):
     folder = scratch_path(spark, "sides")
@@ -118,13 +118,13 @@ def history(spark, d):
     )
 
 
-@query("read_json_array", f"{HISTORY} ORDER BY timestamp DESC LIMIT 100")
+@query("read_json_array", HISTORY)
 def read_json_array(spark, d):
     path = scratch_path(spark, "json")
-    # The stored log is bounded, so its array is too.
-    newest = od.latest_n(history(spark, d), "timestamp", ["seq"])
-    array = newest.agg(F.to_json(F.collect_list(F.struct(*tb.HISTORY_SCHEMA.fieldNames()))).alias("value"))
-    array.write.text(path)
+    # A file is one array, so the records become many files: one for each run of 16,384 seconds.
+    record = F.struct(*tb.HISTORY_SCHEMA.fieldNames())
+    arrays = history(spark, d).groupBy(F.shiftright("seq", 14).alias("run")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.write.partitionBy("run").text(path)
     return tb.read_json_array(spark, path, tb.HISTORY_SCHEMA)
 
 
@@ -136,11 +136,12 @@ def latest_n(spark, d):
 @query(
     "write_pair",
     f"""WITH {b.PAIRS} SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, source, target FROM pairs
-        WHERE dataset = 'es-fr' AND length(source) % 2 = 0""",
+        WHERE source <> target""",
 )
 def write_pair(spark, d):
     folder = scratch_path(spark, "pair")
-    some = b.pairs(spark, d).filter((F.col("dataset") == "es-fr") & (F.length("source") % 2 == 0))
+    # Positions with gaps, as filters leave them.
+    some = b.pairs(spark, d).filter(F.col("source") != F.col("target"))
     return pr.read_parquet_pair(spark, *pr.write_pair(some, folder, "set", "es", "fr"))
 
 
@@ -158,11 +159,14 @@ both_ways AS (SELECT dataset, row_index, source, target, source_lang, target_lan
   UNION ALL SELECT dataset, row_index, target, source, target_lang, source_lang, 1, split FROM split)"""
 
 
+POSITION = f"row_number() OVER (ORDER BY md5(dataset || '|' || row_index || '|' || direction || {SEED})) - 1 AS position"
+
+
 @query("stratified_split", f"WITH {SPLIT} SELECT dataset, row_index, source_lang, split FROM split")
 def stratified_split(spark, d):
     from duolex.operators.filters import normalize_pairs
 
-    clean = normalize_pairs(b.pairs(spark, d), repair=False).select("dataset", "row_index", "source_lang")
+    clean = normalize_pairs(b.pairs(spark, d)).select("dataset", "row_index", "source_lang")
     return od.stratified_split(clean, ["dataset", "row_index"]).select("dataset", "row_index", "source_lang", "split")
 
 
@@ -187,13 +191,13 @@ def hash_split(spark, d):
 
 @query(
     "write_splits",
-    f"WITH {MIRRORED} SELECT {TAGGED}, split FROM both_ways",
+    f"WITH {MIRRORED} SELECT {TAGGED}, split, {POSITION} FROM both_ways",
 )
 def write_splits(spark, d):
     path = scratch_path(spark, "splits")
-    prepared = corpus.prepare_pairs(b.pairs(spark, d), repair=False)
+    prepared = corpus.prepare_pairs(b.pairs(spark, d))
     tb.write_splits(prepared, path)
-    return tb.read_splits(spark, path).select(*tb.TAGGED_SCHEMA.fieldNames(), "split")
+    return tb.read_splits(spark, path).select(*tb.TAGGED_SCHEMA.fieldNames(), "split", "position")
 
 
 @query(
@@ -257,7 +261,7 @@ def row_budget_first(spark, d):
         GROUP BY ROLLUP (dataset)""",
 )
 def retention_report(spark, d):
-    kept = ~tx.strip("text").eqNullSafe(tx.normalize_text("text", False))
+    kept = ~tx.strip("text").eqNullSafe(tx.normalize_text("text"))
     return rp.retention_report(b.documents(spark, d).withColumnRenamed("source", "dataset"), kept)
 
 

@@ -51,7 +51,7 @@ def normalize_text(spark, d):
     docs = b.documents(spark, d).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
     pages = table(spark, d, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), linked.alias("text"))
     both = docs.unionByName(pages)
-    return both.withColumn("text", tx.normalize_text("text", repair=False))
+    return both.withColumn("text", tx.normalize_text("text"))
 
 
 @query(
@@ -165,7 +165,7 @@ def parse_direction(spark, d):
 )
 def drop_identical(spark, d):
     # Texts that normalizing leaves alone are the identical pairs.
-    sides = b.documents(spark, d).select("doc_id", tx.strip("text").alias("source"), tx.normalize_text("text", False).alias("target"))
+    sides = b.documents(spark, d).select("doc_id", tx.strip("text").alias("source"), tx.normalize_text("text").alias("target"))
     return fl.drop_identical(sides)
 
 
@@ -181,7 +181,7 @@ def drop_empty(spark, d):
     # Addresses that stay links normalize to nothing.
     bare = F.regexp_replace(F.regexp_replace("url", "^http://", ""), "^https://", "www.")
     sides = table(spark, d, "pages").select("page_id", bare.alias("source"), F.col("html").alias("target"))
-    return fl.normalize_pairs(sides, repair=False)
+    return fl.normalize_pairs(sides)
 
 
 @query("tag_languages", "SELECT doc_id, text, 'English' AS source_lang, 'Turkish' AS target_lang FROM documents")

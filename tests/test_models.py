@@ -23,6 +23,15 @@ def test_failed_batches_keep_their_rows(spark, on_error, value):
     assert got == {i: value if 8 <= i < 16 else f"TRANSLATE EN TO TR: S{i}" for i in range(20)}
 
 
+def test_translate_leaves_other_columns_alone(spark):
+    wide = 9007199254740993
+    rows = [(wide + i if i % 3 else None, None if i == 4 else f"s{i}", "en", None if i == 5 else "tr") for i in range(16)]
+    df = spark.createDataFrame(rows, "wide long, source string, source_lang string, target_lang string").coalesce(1)
+    got = inf.translate(df, inf.identity_translator, on_error="message").collect()
+    assert [(r.wide, r.source, r.source_lang, r.target_lang) for r in got] == rows
+    assert [r.prediction for r in got] == [r[1] or "" for r in rows]
+
+
 def test_encode_chunks(spark):
     df = spark.createDataFrame([(i, "a b " * i) for i in range(30)], "id int, t string")
     got = df.select("id", inf.encode("t", inf.hashing_encoder, chunk=7).alias("v")).collect()

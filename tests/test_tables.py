@@ -1,5 +1,6 @@
 """Sources, sinks, positions, budgets and splits."""
 
+import os
 import random
 
 import pytest
@@ -152,6 +153,28 @@ def test_leak_free_split_keeps_directions_together(spark):
     assert mixed > 0
 
 
+def test_written_splits_keep_the_shuffle(spark, tmp_path):
+    rows = [("d", i, f"w{i}", f"v{i}", "en", "de") for i in range(400)]
+    pairs = spark.createDataFrame(rows, "dataset string, row_index long, source string, target string, source_lang string, target_lang string")
+    path = str(tmp_path / "splits")
+    tb.write_splits(corpus.prepare_pairs(pairs, partitions=2), path)
+    for split, n in (("train", 640), ("test", 160)):
+        for name in sorted(os.listdir(f"{path}/split={split}")):
+            if name.endswith(".parquet"):
+                places = [r.position for r in spark.read.parquet(f"{path}/split={split}/{name}").coalesce(1).collect()]
+                assert places == sorted(places)
+        assert tb.read_splits(spark, path).filter(f"split = '{split}'").count() == n
+    places = [r.position for r in tb.read_splits(spark, path).select("position").collect()]
+    assert sorted(places) == list(range(800))
+
+
+def test_no_budget_reads_everything(spark, tmp_path):
+    for lang in ("en", "de"):
+        spark.createDataFrame([(f"{lang}{i}",) for i in range(50)], f"{lang} string").write.parquet(pr.side_path(f"{tmp_path}/a", "a", lang))
+    assert corpus.load_datasets(spark, str(tmp_path), ["a"], "en", "de").count() == 50
+    assert corpus.load_datasets(spark, str(tmp_path), ["a"], "en", "de", max_rows=20).count() == 20
+
+
 def test_quotas():
     assert ds.quotas([5, 5, 5], 7) == [5, 2, 0]
     assert ds.quotas([5, 5, 5], 3, first_complete=True) == [5, 0, 0]
