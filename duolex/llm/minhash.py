@@ -19,8 +19,11 @@ from duolex.session import materialize
 #: Two sets of similarity 0.8 share no band with a probability of (1 - 0.8^5)^36 < 1e-6.
 BANDS, WIDTH = 36, 5
 COORDINATES = BANDS * WIDTH
-#: A pair is verified if this share of its coordinates agrees: five deviations below 0.8.
-AGREE = 0.64
+#: Where a bucket holds several components, its members are compared by sketches of so many
+#: coordinates, a byte each; a pair is verified if its similarity can be reached within five deviations.
+FINE, DEVIATIONS = 1024, 5
+#: The first so many of these are compared first.
+FIRST = 128
 #: Members of a bucket that are compared with as many others in one go.
 CHUNK = 256
 #: Bytes of text that are hashed together.
@@ -33,7 +36,7 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, dtype=bool)
 _space[[32, *range(9, 14)]] = True
-_seeds = np.random.default_rng(21).integers(0, 2**63, 2 * COORDINATES, dtype=np.uint64)
+_seeds = np.random.default_rng(21).integers(0, 2**63, 2 * max(COORDINATES, FINE), dtype=np.uint64)
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -43,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=32)
 def powers(base: int, count: int) -> np.ndarray:
     steps = np.full(count, base, dtype=np.uint64)
     steps[0] = 1
@@ -82,7 +85,7 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(run)
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
+def sketch(elements: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     """One value for each coordinate, equal between two sets with the probability of their similarity.
 
     Round after round deals all elements to random coordinates, later ones to one coordinate each,
@@ -91,14 +94,13 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     coordinates at once nearly always; the number of a round leads its values, so that groups and
     single rounds give the same.
     """
-    t = COORDINATES
     best = np.full(t, np.uint64(2**64 - 1))
     at, group = 0, max(1, -(-8 * t // len(elements)))
     while at < 2 * t:
         rounds = np.arange(at, min(at + group, 2 * t))
         values = mix(elements[None, :] ^ _seeds[rounds][:, None])
         places = np.where(rounds[:, None] < t, values % np.uint64(t), (rounds[:, None] - t) % t).astype(np.int64)
-        keys = (rounds.astype(np.uint64)[:, None] << np.uint64(54)) | (values >> np.uint64(10))
+        keys = (rounds.astype(np.uint64)[:, None] << np.uint64(52)) | (values >> np.uint64(12))
         np.minimum.at(best, places.ravel(), keys.ravel())
         at += group
         if (best != np.uint64(2**64 - 1)).all():
@@ -107,7 +109,7 @@ def sketch(elements: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text, n_shingles, digest, bands, marks): sketch of each whole text; nulls where it has no word."""
+    """(doc_id, text_digest, n_shingles, digest, bands): band keys of each whole text; nulls where it has no word."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -116,19 +118,23 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 for text in frame["text"].iloc[a:b]:
                     found = shingles(text, words)
                     if not len(found):
-                        rows.append((0, None, None, None))
+                        rows.append((0, None, None))
                         continue
-                    values = mix(sketch(found))
-                    bands = np.zeros(BANDS, dtype=np.uint64)
-                    for column in values.reshape(BANDS, WIDTH).T:
-                        bands = mix(bands * np.uint64(BASE) + column)
-                    digest = hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest()
-                    rows.append((len(found), digest, bands.view(np.int64), values.astype(np.uint8).tobytes()))
-                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "marks"])
-                yield out.assign(doc_id=frame["doc_id"].iloc[a:b].to_numpy(), text=frame["text"].iloc[a:b].to_numpy())
+                    keys = np.arange(1, BANDS + 1, dtype=np.uint64)  # so that bands don't meet each other
+                    for column in mix(sketch(found)).reshape(BANDS, WIDTH).T:
+                        keys = mix(keys * np.uint64(BASE) + column)
+                    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                    rows.append((len(found), digest, keys.view(np.int64)))
+                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands"])
+                yield out.assign(**{c: frame[c].iloc[a:b].to_numpy() for c in ("doc_id", "text_digest")})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(work, "n_shingles long, digest string, bands array<long>, marks binary, doc_id long, text string")
+    rows = identified(docs)
+    return rows.mapInPandas(work, "n_shingles long, digest binary, bands array<long>, doc_id long, text_digest binary")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text.cast("binary"))).alias("text_digest"), text.alias("text"))
 
 
 @lru_cache(maxsize=256)
@@ -139,7 +145,7 @@ def exact_set(text: str, words: int) -> frozenset:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests whose full sets of word runs are similar enough."""
+    """The pairs (a, b) of classes whose full sets of word runs are similar enough."""
 
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -150,38 +156,56 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 kept.append(100 * common >= percent * (len(x) + len(y) - common))
             yield frame.loc[kept, ["a", "b"]]
 
-    first = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a string, b string")
+    first = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
+    second = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a long, b long")
+
+
+def fine_marks(texts: DataFrame, words: int) -> DataFrame:
+    """(class, marks): a byte of each coordinate of a longer sketch."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            marks = [mix(sketch(shingles(t, words), FINE)).astype(np.uint8).tobytes() for t in frame["text"]]
+            yield pd.DataFrame({"class": frame["class"], "marks": marks})
+
+    return texts.select("class", "text").mapInPandas(work, "class long, marks binary")
 
 
-def unlike_parts(members: DataFrame) -> DataFrame:
+def unlike_parts(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a bucket that lie in different components and whose sketches agree enough.
 
-    `members`: (band, key, digest, root, marks, size). A bucket of more than CHUNK members is cut
+    `members`: (key, class, root, bands, marks, size). A bucket of more than CHUNK members is cut
     into chunks, and each two of them meet in a unit of their own; no unit holds more than about
-    two chunks, and only likely pairs leave it.
+    two chunks, and only likely pairs leave it, each from the first bucket that holds both.
     """
+    share = percent / 100
+    # Bytes of unlike coordinates agree by chance, too, which only adds pairs.
+    least, least_first = (n * (share - DEVIATIONS * (share * (1 - share) / n) ** 0.5) for n in (FINE, FIRST))
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("digest", "band"), chunks).cast("int")
+    own = F.pmod(F.xxhash64("class", "key"), chunks).cast("int")
     dealt = members.withColumn("_n", chunks).withColumn("_own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     dealt = dealt.withColumn("_other", other).select(
-        "band", "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "digest", "root", "marks"
+        "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "class", "root", "bands", "marks"
     )
-    unit = ["band", "key", "i", "j"]
+    unit = ["key", "i", "j"]
 
-    def compare(group: pd.DataFrame) -> list[tuple[str, str]]:
-        marks = np.frombuffer(b"".join(group["marks"]), dtype=np.uint8).reshape(len(group), COORDINATES)
-        root, digest, own = (group[c].to_numpy() for c in ("root", "digest", "_own"))
+    def compare(group: pd.DataFrame) -> list[tuple[int, int]]:
+        marks = np.frombuffer(b"".join(group["marks"]), dtype=np.uint8).reshape(len(group), FINE)
+        root, name, own = (group[c].to_numpy() for c in ("root", "class", "_own"))
         i, j = group["i"].iloc[0], group["j"].iloc[0]
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own == j)
+        head = np.ascontiguousarray(marks[right, :FIRST])
+        bands, key = np.stack(group["bands"].to_list()), group["key"].iloc[0]
         found = []
         for x in left:
-            rest = right[root[right] != root[x]] if i != j else right[(right > x) & (root[right] != root[x])]
-            alike = rest[(marks[rest] == marks[x]).sum(axis=1) >= AGREE * COORDINATES]
-            found.extend((min(digest[x], digest[y]), max(digest[x], digest[y])) for y in alike)
+            likely = np.count_nonzero(head == marks[x, :FIRST], axis=1) >= least_first
+            rest = right[likely & (root[right] != root[x]) & ((right > x) | (i != j))]
+            alike = rest[np.count_nonzero(marks[rest] == marks[x], axis=1) >= least] if len(rest) else rest
+            first = (bands[alike] == bands[x]).argmax(axis=1)
+            found.extend((min(name[x], name[y]), max(name[x], name[y])) for y in alike[bands[x][first] == key])
         return found
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,11 +215,11 @@ def unlike_parts(members: DataFrame) -> DataFrame:
             last = (frame[unit] == frame[unit].iloc[-1]).all(axis=1).to_numpy()
             held, frame = frame[last], frame[~last]
             found = [p for _, group in frame.groupby(unit, sort=False) for p in compare(group)]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype=object)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         if held is not None:
-            yield pd.DataFrame(compare(held), columns=["a", "b"], dtype=object)
+            yield pd.DataFrame(compare(held), columns=["a", "b"], dtype="int64")
 
-    return dealt.repartition(*unit).sortWithinPartitions(*unit).mapInPandas(work, "a string, b string").distinct()
+    return dealt.repartition(*unit).sortWithinPartitions(*unit).mapInPandas(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -203,45 +227,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Texts with equal sets are one class, and only classes are compared. In each bucket of a band
     first all members meet the one that shares most buckets with others; members that this leaves
-    in different components then meet each other. Every link is confirmed on the full sets of the
-    texts. Texts without words link with nothing; null doc_ids take part and can't be the smallest;
-    repeated rows stay and share their component; other columns are not read.
+    in different components then meet each other, by longer sketches. Every link is confirmed on
+    the full sets of the texts. Texts without words link with nothing; null doc_ids take part and
+    can't be the smallest; repeated rows stay and share their component; other columns are not read.
     """
     rows = materialize(sketched(docs, words), "sketches")
+    # One text stands for a class: the one of the smallest id and digest.
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks")
+        F.min(F.struct("doc_id", "text_digest")).alias("row"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
     )
-    classes = materialize(classes, "classes")
-    members = classes.select("digest", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = materialize(members.join(buckets, ["band", "key"]), "members")
-    degree = members.groupBy("digest").agg(F.sum("size").alias("degree"))
-    ranked = members.join(degree, "digest")
-    middle = ranked.groupBy("band", "key").agg(F.max_by("digest", F.struct("degree", "digest")).alias("middle"))
-    stars = members.join(middle, ["band", "key"]).filter("digest <> middle")
-    stars = stars.select(F.least("digest", "middle").alias("a"), F.greatest("digest", "middle").alias("b")).distinct()
-
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    members = classes.select("class", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = materialize(members.join(buckets, "key"), "members")
+    degree = members.groupBy("class").agg(F.sum("size").alias("degree"))
+    middle = members.join(degree, "class").groupBy("key").agg(F.max_by("class", F.struct("degree", "class")).alias("middle"))
+    stars = members.join(middle, "key").filter("class <> middle")
+    stars = stars.select(F.least("class", "middle").alias("a"), F.greatest("class", "middle").alias("b")).distinct()
     stars = materialize(stars, "stars")
-    named = stars.select(F.col("a").alias("digest")).union(stars.select("b")).distinct()
-    texts = rows.join(classes.join(named, "digest", "left_semi").select("digest", "doc_id"), ["digest", "doc_id"], "left_semi")
-    # Null ids only: their class has no other id, so any of its rows will do.
-    nameless = classes.filter("doc_id IS NULL").join(named, "digest", "left_semi").select("digest")
-    texts = texts.unionByName(rows.join(nameless, "digest", "left_semi")).select("digest", "text").dropDuplicates(["digest"])
-    texts = materialize(texts, "class-texts")
+
+    named = stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct()
+    wanted = classes.join(named, "class", "left_semi").select("class", "row.*")
+    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("text_digest") == F.col("_digest"))
+    texts = identified(docs).join(wanted.select("class", F.col("doc_id").alias("_id"), F.col("text_digest").alias("_digest")), same)
+    # Rows repeated as a whole give their text as often.
+    texts = materialize(texts.select("class", "text").dropDuplicates(["class"]), "class-texts")
     links = materialize(verified(stars, texts, words, percent), "star-links")
     roots = components(links)
 
-    parted = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    parted = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     parted = materialize(parted, "parted")
-    mixed = parted.groupBy("band", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
-    rest = parted.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
-    rest = rest.join(classes.select("digest", "marks"), "digest")
-    pairs = unlike_parts(rest).join(stars, ["a", "b"], "left_anti")
+    mixed = parted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
+    rest = materialize(parted.join(mixed.select("key"), "key", "left_semi"), "rest")
+    marks = fine_marks(texts.join(rest.select("class").distinct(), "class", "left_semi"), words)
+    marks = materialize(marks.join(classes.select("class", "bands"), "class"), "marks")
+    rest = rest.join(marks, "class")
+    pairs = unlike_parts(rest, percent).join(stars, ["a", "b"], "left_anti")
     more = verified(materialize(pairs, "rest-pairs"), texts, words, percent)
-    # Components so far stand for their members in the links found now.
     whole = components(links.unionByName(more))
 
-    ids = classes.join(whole.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    ids = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = materialize(ids.select("digest", "doc_id", "root"), "class-roots")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = ids.join(least, "root").select("digest", "component_id")
