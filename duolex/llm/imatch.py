@@ -13,7 +13,7 @@ LEXICON_BITS = 20
 #: Terms kept have an inverse document frequency within this part of the largest possible one.
 BAND = (0.1, 0.9)
 #: Levels of lexicon subsets, each of half the density of the one before; subsets of a level; hex digits of a hash.
-LEVELS, SUBSETS, DIGITS = 10, 16, 4
+LEVELS, SUBSETS, DIGITS = 10, 16, 4  # 16: two steps of a quarter
 #: Likeness is read from the sparsest level at which so many subsets hold a term of either text.
 READ_FROM = 8
 EMPTY = "0" * DIGITS
@@ -42,12 +42,19 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
 
 
-def in_subset(number: int):
-    return lambda draw: F.shiftrightunsigned(draw, 32).bitwiseAND(SUBSETS - 1) == number
+def with_bits(shift: int, mask: int, value: int):
+    return lambda draw: F.shiftrightunsigned(draw, shift).bitwiseAND(mask) == value
 
 
-def at_level(number: int):
-    return lambda draw: draw.bitwiseAND((1 << number) - 1) == 0
+def level_hashes(subset: str) -> Column:
+    """Hashes of the draws of one subset that stay at each level."""
+    most = F.lit(16**DIGITS - 1)
+    # A draw stays up to the level of its low zero bits.
+    masks = F.array(*[F.lit((1 << i) - 1).cast("long") for i in range(LEVELS)])
+    left = F.transform(masks, lambda mask: F.filter(subset, lambda draw: draw.bitwiseAND(mask) == 0))
+    return F.transform(
+        left, lambda p: F.when(F.size(p) == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(p), most) + 1)), DIGITS, "0"))
+    )
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str, bitmap: Column) -> DataFrame:
@@ -61,17 +68,15 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, bitmap: Column) -> D
     # A term's draw, sorted: its low bits say up to which level it stays, its high ones in which subset.
     draws = F.transform(F.when(F.size("_known") > 0, F.col("_known")).otherwise(F.col("_every")), lambda t: F.xxhash64(t))
     rows = rows.withColumn("_draws", F.array_sort(draws))
-    rows = rows.withColumns({f"_level{i}": F.filter("_draws", at_level(i)) for i in range(LEVELS)})
-    parts = {f"_part{i}": F.array(*[F.filter(f"_level{i}", in_subset(j)) for j in range(SUBSETS)]) for i in range(LEVELS)}
-    rows = rows.withColumns(parts)
-    most = F.lit(16**DIGITS - 1)
-    digits = F.transform(
-        F.concat(*parts),
-        lambda p: F.when(F.size(p) == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(p), most) + 1)), DIGITS, "0")),
-    )
+    # Subsets in two steps of a quarter each, then the levels of each: few looks at every draw.
+    rows = rows.withColumns({f"_quarter{q}": F.filter("_draws", with_bits(34, 3, q)) for q in range(4)})
+    rows = rows.withColumns({f"_subset{j}": F.filter(f"_quarter{j // 4}", with_bits(32, 3, j % 4)) for j in range(SUBSETS)})
+    rows = rows.withColumns({f"_hashes{j}": level_hashes(f"_subset{j}") for j in range(SUBSETS)})
+    by_level = F.array(*[F.get(f"_hashes{j}", F.lit(i)) for i in range(LEVELS) for j in range(SUBSETS)])
     nothing = F.concat(F.lit("#"), F.sha2(F.col(text).cast("binary"), 256))
-    rows = rows.withColumn(name, F.when(F.size("_every") == 0, nothing).otherwise(F.array_join(digits, "")))
-    return rows.drop("_every", "_known", "_draws", *parts, *[f"_level{i}" for i in range(LEVELS)])
+    rows = rows.withColumn(name, F.when(F.size("_every") == 0, nothing).otherwise(F.array_join(by_level, "")))
+    steps = [f"{step}{j}" for step in ("_subset", "_hashes") for j in range(SUBSETS)]
+    return rows.drop("_every", "_known", "_draws", *steps, *[f"_quarter{q}" for q in range(4)])
 
 
 def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
