@@ -22,6 +22,17 @@ def fix(spark, d):
     return table(spark, d, "pages").select("page_id", fix_text(F.col("html")).alias("html"))
 
 
+@query(
+    "fix_text_misread",
+    "SELECT doc_id, text || ' \"x\" AB ' || 'it''s' AS text FROM documents",
+)
+def fix_misread(spark, d):
+    """Texts read as Latin-1 instead of UTF-8, with curly quotes, full-width letters and ligatures."""
+    odd = F.concat(F.replace("text", F.lit("fi"), F.lit("\ufb01")), F.lit(" \u201cx\u201d \uff21\uff22 it\u2019s"))
+    misread = F.decode(F.encode(odd, "UTF-8"), "ISO-8859-1")
+    return b.documents(spark, d).select("doc_id", fix_text(misread).alias("text"))
+
+
 @query("strip_tags", f"SELECT page_id, {b.sql_tags('html')} AS text FROM pages")
 def strip_tags(spark, d):
     return table(spark, d, "pages").select("page_id", tx.strip_tags("html").alias("text"))
