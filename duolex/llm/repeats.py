@@ -11,6 +11,7 @@ smaller blocks for the next pass, down to single windows. Equality is that of 12
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -28,6 +29,13 @@ THRESHOLD = 400
 GRAM = 48
 #: Windows of a block in the passes after the first.
 CELLS = (32, 4, 1)
+#: Words of the shortest passage that `without_passages` cuts.
+PASSAGE_WORDS = 51
+#: Fixed value: scripts without spaces between words, in which every letter counts as a word.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORD = rf"(?V1)[{UNSPACED}]|[[\p{{L}}\p{{M}}\p{{N}}_]--[{UNSPACED}]]+(?:['’-][[\p{{L}}\p{{M}}\p{{N}}_]--[{UNSPACED}]]+)*"
+#: Characters that stand for a word or for what lies between two.
+CODE = 4
 #: Characters of short texts, or windows of a long one, that are worked on together.
 BLOCK = 1 << 18
 
@@ -253,6 +261,70 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return whole.select("row.*", "cut.kept", "cut.removed")
 
 
+def word_codes(text: Column) -> Column:
+    """A code of 24 bits in four ASCII characters for every word and for what follows it."""
+
+    @F.pandas_udf("string")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import regex
+
+        split = regex.compile(f"({WORD})").split
+        known: dict[str, str] = {}
+
+        def of(part: str) -> str:
+            if part not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                digest = hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=3).digest()
+                known[part] = base64.b64encode(digest).decode()
+            return known[part]
+
+        for texts in batches:
+            # What precedes the first word belongs to no passage.
+            yield texts.map(lambda t: "".join(map(of, split(t)[1:])))
+
+    return code(text)
+
+
+def without_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(all columns of docs, left): each text without the passages that also occur elsewhere.
+
+    A word goes if it lies in a run of `words` words, with all that lies between them, that also
+    starts anywhere else in the table, however few bytes that is; so does what lies between two
+    words that go. Words and gaps are compared by codes of equal length, so that a run of words is
+    a window of so many bytes. Otherwise as `without_repeats`; a null text stays null.
+    """
+    unit, threshold = 2 * CODE, (2 * words - 1) * CODE
+    names = [c for c in docs.columns if c != "left"]
+    coded = docs.select(F.struct(*names).alias("row"), F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    coded = coded.withColumn("coded", word_codes(F.coalesce("text", F.lit(""))))
+    coded = materialize(coded.withColumn("digest", F.unhex(F.md5(F.col("coded").cast("binary")))), "word-codes")
+    long = coded.select("digest", "id", F.col("coded").alias("text")).filter(F.octet_length("text") >= threshold)
+    spans = repeated_spans(long, threshold)
+    # Windows count from the beginning of a word only.
+    first = F.transform("spans", lambda s: F.struct(F.ceil(s["begin"] / unit).alias("begin"), (F.floor((s["end"] - threshold) / unit) + words).alias("end")))
+    spans = spans.select("digest", F.filter(first, lambda s: s["end"] - s["begin"] >= words).alias("spans"))
+    whole = coded.drop("coded", "id").join(spans, "digest", "left")
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import regex
+
+        find = regex.compile(WORD).finditer
+        for texts, lists in batches:
+            left = []
+            for text, spans in zip(texts, lists):
+                gone = merged(spans) if text is not None and spans is not None else []
+                if gone:
+                    at = [m.span() for m in find(text)]
+                    bounds = [0, *(x for a, b in gone for x in (at[a][0], at[b - 1][1])), len(text)]
+                    text = "".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
+                left.append(text)
+            yield pd.Series(left, dtype=object)
+
+    return whole.select("row", cut(F.col("text"), F.col("spans")).alias("left")).select("row.*", "left")
+
+
 def cut_spans(text: Column, spans: str) -> Column:
     @F.pandas_udf("kept binary, removed array<struct<begin:long,end:long>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -269,17 +341,6 @@ def cut_spans(text: Column, spans: str) -> Column:
     return cut(text, spans)
 
 
-def readable(kept: str) -> Column:
-    """Remaining bytes as text, without the parts of characters that a cut went through."""
-
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield rows.map(lambda data: bytes(data).decode("utf-8", "ignore"))
-
-    return decode(kept)
-
-
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark, sf_dir):
     rows = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))

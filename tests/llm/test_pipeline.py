@@ -1,5 +1,7 @@
 """The pipeline's stages against plain statements of what each must keep."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -38,6 +40,23 @@ def test_stages(spark, folder, small):
     assert all(r["same"] for r in lengths)
 
 
+def test_short_passages_of_over_50_words_go(spark):
+    """51 words of about two letters are cut from otherwise different documents, 50 words stay."""
+    random.seed(6)
+
+    def words(n, letters):
+        return " ".join("".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(letters)) for _ in range(n))
+
+    passage, short, glued = words(51, 2), words(50, 2), words(51, 1)
+    shared = {1: passage, 2: passage, 3: short, 4: short, 5: "(" + glued, 6: "'" + glued}
+    around = {i: (words(80, 6), words(70, 6)) for i in shared}
+    docs = [(i, f"{around[i][0]} {shared[i]} {around[i][1]}", "en", "p", 0) for i in shared] + [(7, None, "en", "p", 0), (8, "", "en", "p", 0)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    want = {i: f"{a} {'' if i < 3 else shared[i] if i < 5 else shared[i][0]} {b}" for i, (a, b) in around.items()}
+    assert got == want | {7: None, 8: ""}
+
+
 def test_toxic_documents_go(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
