@@ -471,6 +471,46 @@ def test_neighbours_share_words():
     assert index.neighbours(1, np.asarray([True, False, True, True])).tolist() == [3]
 
 
+def test_seeds_ask_all_terms_of_all_documents(spark, monkeypatch):
+    """Against BM25 of every seed with every document of the table, over many indexes."""
+    random.seed(8)
+    tokens = spark.createDataFrame(
+        [(i, np.asarray([random.randrange(10, 400) for _ in range(60)] + [1], dtype="<u2").tobytes(), 61) for i in range(300)],
+        "doc_id long, ids binary, doc_tokens long",
+    )
+    weights, mean = packing.term_weights(tokens)
+    bags = [Counter(np.frombuffer(r["ids"], dtype="<u2").tolist()) for r in tokens.collect()]
+
+    def score(a, b):
+        norm = packing.K1 * (1 - packing.B + packing.B * 61 / mean)
+        return sum(weights[t] * b[t] * (packing.K1 + 1) / (b[t] + norm) for t in a if t in b)
+
+    asked = []
+    settled = packing.settled
+    monkeypatch.setattr(packing, "settled", lambda claims, rooms: asked.append((claims.toPandas(), rooms.toPandas())) or settled(claims, rooms))
+    pieces = packing.pack(tokens, window=256, index_docs=100, last_docs=200).toPandas()
+    assert pieces.length.sum() == 300 * 61 and sum(pieces.groupby("sequence_id").length.sum() != 256) <= 8
+    placed = packing.placed_tokens(tokens, 3).toPandas()
+    name = dict(zip(placed.base, placed.doc_id))
+    claims, rooms = asked[0]
+    free = [name[b] for b in placed.base if b not in set(rooms.window)]
+    assert len(rooms) > 10
+    for window, part in claims.groupby("window"):
+        got = part.sort_values("score").tail(4).score.tolist()
+        want = sorted(score(bags[name[window]], bags[d]) for d in free)[-4:]
+        assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_windows_hold_neighbours_from_all_shards(spark):
+    """Documents of 150 subjects, four of each, lie in sequences with their like."""
+    random.seed(3)
+    ids = lambda s: np.asarray([10 + 20 * s + random.randrange(20) for _ in range(63)] + [1], dtype="<u2").tobytes()
+    tokens = spark.createDataFrame([(i, ids(i % 150), 64) for i in range(600)], "doc_id long, ids binary, doc_tokens long")
+    got = packing.pack(tokens, window=256, index_docs=150, last_docs=150).toPandas()
+    subjects = got.assign(subject=got.doc_id % 150).groupby("sequence_id").subject.nunique()
+    assert (subjects == 1).mean() > 0.5
+
+
 # Queries
 
 
