@@ -8,6 +8,7 @@ from duolex.llm import (  # noqa: F401
     minhash,
     packing,
     repeats,
+    search,
     sharding,
     toxicity,
     urls,
