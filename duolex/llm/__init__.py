@@ -2,6 +2,7 @@
 
 from duolex.llm import (  # noqa: F401
     bpe,
+    divergence,
     hnsw,
     imatch,
     languages,
