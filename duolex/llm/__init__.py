@@ -5,6 +5,7 @@ from duolex.llm import (  # noqa: F401
     divergence,
     hnsw,
     imatch,
+    language_model,
     languages,
     minhash,
     packing,
