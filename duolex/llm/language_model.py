@@ -2,25 +2,28 @@
 
 A word's probability is that of its class after the words before it, times that of its leaf within
 the class after them, times its share of the leaf. The first two are softmaxes over hashed n-gram
-and skip features, the last one over the words' own counts. Classes are runs of the known words
-ordered by their letters from the end, each with an equal part of the corpus, so they grow with the
-vocabulary; words seen once and unseen ones share a class of their own.
+and skip features, the last one over the words' own counts. Words fall into classes by a hash of
+their last two bytes and into leaves by one of their last four, so words with like endings are
+together; words seen once and unseen ones share a class of their own.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duolex.llm.common import before_part, documents, query, ranged
+from duolex.llm.common import documents, query
 from duolex.session import materialize
 
 #: A block of coded documents ends after so many bytes of text.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 32_000_000
 #: Classes, and leaves of each; one more class is for words seen once or never.
 CLASSES = 16
 LEAVES = 16
@@ -32,7 +35,7 @@ LEAF_ROWS = 1 << 16
 ROUNDS = 2
 #: Tokens that a training task has about, and that are learned from or scored together.
 TASK_TOKENS = 16_000_000
-BATCH = 16_384
+BATCH = 32_768
 RATE = 0.3
 #: Squared gradient that a row starts with, and that a past token counts for.
 START, PAST = 1.0, 0.03
@@ -43,28 +46,49 @@ END = " "
 BEFORE, SELDOM = 0x9E3779B1, 0x85EBCA77
 
 CODED = (
-    "block long, ids array<long>, named array<boolean>, held_out array<boolean>, sizes array<long>, "
-    "codes binary, words array<string>, trained array<long>"
+    "block long, ids array<long>, named array<boolean>, held_out array<boolean>, sizes array<int>, "
+    "codes binary, wide binary, hashes array<long>, leaves binary, trained array<long>"
 )
+#: Codes from this on, those of a block's rarest words, are stored apart with four bytes each.
+WIDE = (1 << 16) - 1
+
+
+def leaf_of(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % CLASSES * LEAVES + zlib.crc32(word[-4:]) % LEAVES
 
 
 def _coder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, held_out, text) to blocks of documents, coded by the words of the block."""
+    """(id, held_out, text) to blocks of documents, coded by the words of the block, most frequent first.
+
+    Words leave the block as 64-bit hashes: two of n words share one with probability n^2 / 2^65.
+    """
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 33
     end = END.encode()
-    ids, held_out, sizes, words, held = [], [], [], [], 0
+
+    def fresh():
+        place: defaultdict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__
+        return place, [], [], [], [], 0
+
+    place, ids, held_out, sizes, codes, held = fresh()
 
     def done() -> pd.DataFrame:
-        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        codes = np.fromiter(map(place.__getitem__, words), np.uint32, len(words))
+        coded = np.concatenate(codes)
+        order = np.argsort(-np.bincount(coded, minlength=len(place)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        coded = rank[coded]
         learned = np.repeat(~np.asarray(held_out, bool), sizes)
+        words = list(place)
+        words = [words[i] for i in order]
         return pd.DataFrame([{
             "block": block, "ids": [0 if i is None else i for i in ids], "named": [i is not None for i in ids],
-            "held_out": held_out, "sizes": sizes, "codes": codes.astype(np.uint16 if len(place) <= 1 << 16 else np.uint32).tobytes(),
-            "words": [w.decode("utf-8", "replace") for w in place],
-            "trained": np.bincount(codes[learned], minlength=len(place)),
+            "held_out": held_out, "sizes": sizes, "codes": np.minimum(coded, WIDE).astype(np.uint16).tobytes(),
+            "wide": coded[coded >= WIDE].astype(np.uint32).tobytes(),
+            "hashes": np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64),
+            "leaves": bytes(map(leaf_of, words)), "trained": np.bincount(coded[learned], minlength=len(words)),
         }])
 
     for batch in batches:
@@ -75,29 +99,16 @@ def _coder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids.append(None if key is None else int(key))
             held_out.append(bool(out))
             sizes.append(len(found))
-            words += found
+            codes.append(np.fromiter(map(place.__getitem__, found), np.uint32, len(found)))
             held += len(text)
             if held >= BLOCK_BYTES:
                 yield done()
-                block, held = block + 1, 0
-                ids, held_out, sizes, words = [], [], [], []
+                block += 1
+                place, ids, held_out, sizes, codes, held = fresh()
     if ids:
         yield done()
 
 
-def _leaves(vocabulary: DataFrame) -> DataFrame:
-    """(word, count, leaf): leaves of equal mass along the words spelled from their end; -1 for rare words."""
-    often = ranged(vocabulary.filter("count > 1").withColumn("_back", F.reverse("word")), "_back", name="spelled")
-    total = often.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    inside = Window.partitionBy("part").orderBy("_back").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_mass") + F.coalesce(F.sum("count").over(inside), F.lit(0))
-    # A row for each range.
-    placed = often.join(F.broadcast(before_part(often, _mass=F.sum("count"))), "part").withColumn("_start", start)
-    leaf = F.floor((F.col("_start") + F.col("count") / 2) * (CLASSES * LEAVES / max(total, 1))).cast("int")
-    placed = placed.select("word", "count", F.least(leaf, F.lit(CLASSES * LEAVES - 1)).alias("leaf"))
-    return placed.unionByName(vocabulary.filter("count = 1").withColumn("leaf", F.lit(-1)))
-
-
 class Shares:
     """What is known of all training tokens: counts of counts and of leaves."""
 
@@ -138,14 +149,17 @@ class Tokens:
 
     def __init__(self, row):
         sizes = np.asarray(row.sizes, np.int64)
-        counts, leaves = np.asarray(row.counts, np.int64), np.asarray(row.leaves, np.int64)
-        code = np.frombuffer(row.codes, np.uint16 if len(counts) <= 1 << 16 else np.uint32).astype(np.int64)
+        code = np.frombuffer(row.codes, np.uint16).astype(np.int64)
+        code[code == WIDE] = np.frombuffer(row.wide, np.uint32)
+        leaves = np.frombuffer(row.leaves, np.uint8).astype(np.int64)
+        counts = np.zeros(len(leaves), np.int64)
+        counts[np.asarray(row.at, np.int64)] = np.asarray(row.known, np.int64) >> 1
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.held_out = np.repeat(np.asarray(row.held_out, bool), sizes)
-        self.counts, self.leaves = counts[code], leaves[code]
-        self.hashes = np.where(counts > 1, np.asarray(row.hashes, np.int64), SELDOM)[code]
-        # How many words of its text come before each token, up to three.
-        self.place = np.minimum(np.arange(len(code)) - np.repeat(self.starts, sizes), 3)
+        self.counts, self.leaves = counts[code], np.where(counts > 1, leaves, -1)[code]
+        self.hashes = np.where(counts > 1, np.asarray(row.marks, np.int64), SELDOM)[code]
+        # How many words of its text come before each token, up to two.
+        self.place = np.minimum(np.arange(len(code)) - np.repeat(self.starts, sizes), 2)
 
     def before(self, by: int) -> np.ndarray:
         return np.where(self.place >= by, np.concatenate([np.full(min(by, len(self.hashes)), BEFORE), self.hashes[:-by]]), BEFORE)
@@ -160,10 +174,10 @@ class Model:
         self.by_leaf = np.zeros((LEAF_ROWS, LEAVES), np.float32) if by_leaf is None else by_leaf.copy()
 
     @staticmethod
-    def class_features(one, two, three) -> list[np.ndarray]:
-        """The word before, the two before, and each of two words further back by itself."""
+    def class_features(one, two) -> list[np.ndarray]:
+        """The word before, the two before, and the one before that by itself."""
         rows = np.uint64(CLASS_ROWS - 1)
-        return [(h & rows).astype(np.int64) for h in (_mixed(one, 1), _mixed(one, 2, two), _mixed(two, 3), _mixed(three, 4))]
+        return [(h & rows).astype(np.int64) for h in (_mixed(one, 1), _mixed(one, 2, two), _mixed(two, 3))]
 
     @staticmethod
     def leaf_features(one, two, which) -> list[np.ndarray]:
@@ -186,12 +200,12 @@ class Model:
     def log_scores(self, tokens: Tokens, shares: Shares) -> np.ndarray:
         """Natural log probability of every token."""
         out = shares.within(tokens.counts, tokens.leaves)
-        contexts = [tokens.before(i) for i in (1, 2, 3)]
+        contexts = [tokens.before(i) for i in (1, 2)]
         for a in range(0, len(out), BATCH):
-            one, two, three = (c[a : a + BATCH] for c in contexts)
+            one, two = (c[a : a + BATCH] for c in contexts)
             leaf = tokens.leaves[a : a + BATCH]
             which = np.where(leaf < 0, RARE, leaf // LEAVES)
-            p = self.classes(self.class_features(one, two, three))
+            p = self.classes(self.class_features(one, two))
             out[a : a + BATCH] += np.log(p[np.arange(len(leaf)), which].astype(np.float64))
             some = np.flatnonzero(leaf >= 0)
             p = self.leaves(self.leaf_features(one[some], two[some], which[some]), which[some])
@@ -210,8 +224,9 @@ class Learner:
     def _step(self, table: int, features: list[np.ndarray], gradient: np.ndarray) -> None:
         weights, squares = (self.model.by_class, self.model.by_leaf)[table], self.squares[table]
         for f in features:
-            order = np.argsort(f, kind="stable")
-            ordered = f[order]
+            # Row and place in one number, whose plain sort is much faster than sorting places.
+            ordered = np.sort(f * BATCH + np.arange(len(f)))
+            order, ordered = ordered % BATCH, ordered // BATCH
             starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             rows, sums = ordered[starts], np.add.reduceat(gradient[order], starts, axis=0)
             squares[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
@@ -219,14 +234,14 @@ class Learner:
             self.seen[table][rows] += np.diff(np.append(starts, len(f)))
 
     def learn(self, tokens: Tokens) -> None:
-        contexts = [tokens.before(i) for i in (1, 2, 3)]
+        contexts = [tokens.before(i) for i in (1, 2)]
         kept = np.flatnonzero(~tokens.held_out)
         for a in range(0, len(kept), BATCH):
             at = kept[a : a + BATCH]
-            one, two, three = (c[at] for c in contexts)
+            one, two = (c[at] for c in contexts)
             leaf = tokens.leaves[at]
             which = np.where(leaf < 0, RARE, leaf // LEAVES)
-            features = self.model.class_features(one, two, three)
+            features = self.model.class_features(one, two)
             gradient = self.model.classes(features)
             gradient[np.arange(len(at)), which] -= 1
             self._step(0, features, gradient)
@@ -283,31 +298,43 @@ def _scorer(shares: Shares, by_class: np.ndarray, by_leaf: np.ndarray):
     return run
 
 
+def _tallies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per block and leaf (rare words apart as -1): tokens, words, and words seen once and twice."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            known, at = np.asarray(row.known, np.int64), np.asarray(row.at, np.int64)
+            # Each word is counted in one of the blocks that hold it.
+            here = (known & 1 == 1) & (known > 1)
+            count = known[here] >> 1
+            leaf = np.where(count > 1, np.frombuffer(row.leaves, np.uint8)[at[here]].astype(np.int64), -1)
+            sums = [np.bincount(leaf + 1, weights=w, minlength=CLASSES * LEAVES + 1).astype(np.int64) for w in (count, count > 0, count == 1, count == 2)]
+            yield pd.DataFrame({"leaf": np.arange(-1, CLASSES * LEAVES), **dict(zip(("tokens", "distinct", "once", "twice"), sums))})
+
+
 def coded_blocks(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Shares]:
-    """Stored blocks of coded documents, each with count, leaf and hash of the words it holds, and
-    what is known of all training tokens."""
+    """Stored blocks of coded documents with the counts of their words, and what is known of all training tokens."""
     held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 1, F.lit(False))
     texts = docs.select(
         F.col(key).cast("long").alias("id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
     coded = materialize(texts.mapInPandas(_coder, CODED), "coded")
-    each = coded.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("trained").alias("count"))))
-    counted = each.filter("count > 0").groupBy("word").agg(F.sum("count").alias("count"))
-    vocabulary = materialize(_leaves(materialize(counted, "counted")), "vocabulary")
-    counts = vocabulary.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("count"), F.lit(1), (F.col("count") == 1).cast("int"), (F.col("count") == 2).cast("int"))]
-    ).first()
-    # 256 leaves at most.
-    leaves = {r.leaf: r.mass for r in vocabulary.filter("leaf >= 0").groupBy("leaf").agg(F.sum("count").alias("mass")).collect()}
-    shares = Shares(*counts, leaves)
-    # Each block gets its own part of the vocabulary, so that no task needs the whole.
-    asked = coded.select("block", F.posexplode("words").alias("at", "word"))
-    known = asked.join(vocabulary, "word", "left").select(
-        "block", "at", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("leaf", F.lit(-1)).alias("leaf"), F.crc32("word").alias("hash")
-    )
-    lists = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "count", "leaf", "hash"))).alias("known"))
-    lists = lists.select("block", F.col("known.count").alias("counts"), F.col("known.leaf").alias("leaves"), F.col("known.hash").alias("hashes"))
-    return materialize(coded.drop("words", "trained").join(lists, "block"), "blocks"), shares
+    # Each block sends every word once and gets its count over all of them back, so that no task needs
+    # the whole vocabulary. The lowest bit marks one of the blocks that hold a word.
+    pairs = F.arrays_zip(F.col("hashes").alias("hash"), F.col("trained").alias("n"))
+    each = coded.select("block", F.posexplode(pairs).alias("at", "word")).select("block", "at", "word.hash", "word.n")
+    word = Window.partitionBy("hash")
+    known = F.sum("n").over(word) * 2 + (F.row_number().over(word.orderBy("block")) == 1).cast("long")
+    lists = each.select("block", F.struct("at", known.alias("known")).alias("known"))
+    lists = lists.groupBy("block").agg(F.collect_list("known").alias("known")).select("block", "known.at", "known.known")
+    marks = F.transform("hashes", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("marks")
+    blocks = coded.select("block", "ids", "named", "held_out", "sizes", "codes", "wide", "leaves", marks).join(lists, "block")
+    blocks = materialize(blocks, "blocks")
+    tallied = blocks.select("leaves", "at", "known").mapInPandas(_tallies, "leaf int, tokens long, distinct long, once long, twice long")
+    tallied = tallied.groupBy("leaf").agg(*[F.sum(c).alias(c) for c in ("tokens", "distinct", "once", "twice")])
+    # A row for each leaf.
+    by_leaf = {r.leaf: r for r in tallied.collect()}
+    sums = [sum(r[c] for r in by_leaf.values()) for c in ("tokens", "distinct", "once", "twice")]
+    return blocks, Shares(*sums, {leaf: r.tokens for leaf, r in by_leaf.items() if leaf >= 0})
 
 
 def train(blocks: DataFrame, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
@@ -319,16 +346,18 @@ def train(blocks: DataFrame, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
     """
     by_class, by_leaf = np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((LEAF_ROWS, LEAVES), np.float32)
     past = np.zeros(CLASS_ROWS + LEAF_ROWS)
-    columns = ["sizes", "held_out", "codes", "counts", "leaves", "hashes"]
+    columns = ["sizes", "held_out", "codes", "wide", "leaves", "marks", "at", "known"]
     for number in range(ROUNDS):
         part = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == number).select(*columns)
         part = part.coalesce(max(1, -(-shares.tokens // (ROUNDS * TASK_TOKENS))))
         changed = part.mapInPandas(_trainer(shares, by_class, by_leaf, past), WEIGHTS)
         summed = changed.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(WIDTH)])
-        # As many rows as the tables have, at most.
-        new = materialize(summed, "weights").toPandas()
-        rows, seen = new["row"].to_numpy(), new["seen"].to_numpy()
-        mean = (new[[f"w{i}" for i in range(WIDTH)]].to_numpy() / seen[:, None]).astype(np.float32) if len(new) else np.zeros((0, WIDTH), np.float32)
+        # As many rows as the tables have, at most; by Arrow, as they would be many objects one by one.
+        new = materialize(summed, "weights").toArrow()
+        rows, seen = (np.asarray(new[c]) for c in ("row", "seen"))
+        mean = np.empty((len(rows), WIDTH), np.float32)
+        for i in range(WIDTH):
+            mean[:, i] = np.asarray(new[f"w{i}"]) / np.maximum(seen, 1)
         leaf = rows >= CLASS_ROWS
         by_class[rows[~leaf]] = mean[~leaf, : CLASSES + 1]
         by_leaf[rows[leaf] - CLASS_ROWS] = mean[leaf, :LEAVES]

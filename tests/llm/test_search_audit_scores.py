@@ -231,6 +231,7 @@ def test_no_training_rows(spark):
 def test_scores_of_a_table(small, monkeypatch):
     """Several blocks; texts that took no part in learning are likelier than by their words alone."""
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 50_000)
+    monkeypatch.setattr(language_model, "WIDE", 300)
     got = rows(language_model.language_scores(small))
     assert based(got) == brute_base([(r["doc_id"], r["text"]) for r in rows(small)])
     held = [r for r in got if r["held_out"]]
@@ -243,8 +244,10 @@ class Row:
 
     def __init__(self, codes, counts, leaves):
         self.sizes, self.held_out = [len(codes)], [False]
-        self.codes, self.counts, self.leaves = np.asarray(codes, np.uint16).tobytes(), counts, leaves
-        self.hashes = [zlib.crc32(str(i).encode()) for i in range(len(counts))]
+        self.codes, self.wide = np.asarray(codes, np.uint16).tobytes(), b""
+        self.at, self.known = np.arange(len(counts)), np.asarray(counts) * 2 + 1
+        self.leaves = bytes(max(leaf, 0) for leaf in leaves)
+        self.marks = [zlib.crc32(str(i).encode()) & 0x7FFFFFFF for i in range(len(counts))]
 
 
 def vocabulary():
@@ -286,7 +289,7 @@ def test_gradient_steps_lower_the_loss():
         learner.learn(tokens)
     assert model.log_scores(tokens, shares).mean() > before + 1
     # Each word after the first three is learned from once a pass, by every feature.
-    assert learner.seen[0].sum() == 5 * 4 * len(text) and learner.seen[1].sum() == 5 * 2 * sum(leaves[c] >= 0 for c in text)
+    assert learner.seen[0].sum() == 5 * 3 * len(text) and learner.seen[1].sum() == 5 * 2 * sum(leaves[c] >= 0 for c in text)
 
 
 def test_batches_do_not_change_scores(monkeypatch):
