@@ -23,9 +23,9 @@ from duolex.llm.common import documents, query
 from duolex.session import materialize
 
 #: A block of coded documents ends after so many bytes of text.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: Classes, and leaves of each; one more class is for words seen once or never.
-CLASSES = 16
+CLASSES = 15
 LEAVES = 16
 RARE = CLASSES
 #: Rows of the two hashed tables of weights: the model's size, which no input changes.
@@ -77,8 +77,8 @@ def _coder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def done() -> pd.DataFrame:
         coded = np.concatenate(codes)
         order = np.argsort(-np.bincount(coded, minlength=len(place)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         coded = rank[coded]
         learned = np.repeat(~np.asarray(held_out, bool), sizes)
         words = list(place)
@@ -134,14 +134,14 @@ class Shares:
         return np.log(classes / classes.sum()).astype(np.float32), np.log(leaves / leaves.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _mixed(a: np.ndarray, salt: int, b: np.ndarray | int = 0) -> np.ndarray:
-    """Hashes of one or two 32-bit values under a salt."""
+def _mixed(a: np.ndarray, salt: int, rows: int, b: np.ndarray | int = 0) -> np.ndarray:
+    """Hashes of one or two 32-bit values under a salt, below a power of two."""
     with np.errstate(over="ignore"):
-        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = a * np.uint64(0x9E3779B97F4A7C15)
         x ^= (np.asarray(b).astype(np.uint64) + np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
+        return (x >> np.uint64(40)).astype(np.uint32) & np.uint32(rows - 1)
 
 
 class Tokens:
@@ -149,20 +149,23 @@ class Tokens:
 
     def __init__(self, row):
         sizes = np.asarray(row.sizes, np.int64)
-        code = np.frombuffer(row.codes, np.uint16).astype(np.int64)
+        code = np.frombuffer(row.codes, np.uint16).astype(np.int32)
         code[code == WIDE] = np.frombuffer(row.wide, np.uint32)
-        leaves = np.frombuffer(row.leaves, np.uint8).astype(np.int64)
+        leaves = np.frombuffer(row.leaves, np.uint8).astype(np.int16)
         counts = np.zeros(len(leaves), np.int64)
         counts[np.asarray(row.at, np.int64)] = np.asarray(row.known, np.int64) >> 1
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.held_out = np.repeat(np.asarray(row.held_out, bool), sizes)
-        self.counts, self.leaves = counts[code], np.where(counts > 1, leaves, -1)[code]
-        self.hashes = np.where(counts > 1, np.asarray(row.marks, np.int64), SELDOM)[code]
-        # How many words of its text come before each token, up to two.
-        self.place = np.minimum(np.arange(len(code)) - np.repeat(self.starts, sizes), 2)
+        self.counts, self.leaves = counts[code], np.where(counts > 1, leaves, np.int16(-1))[code]
+        self.hashes = np.where(counts > 1, np.asarray(row.marks), SELDOM).astype(np.uint32)[code]
 
     def before(self, by: int) -> np.ndarray:
-        return np.where(self.place >= by, np.concatenate([np.full(min(by, len(self.hashes)), BEFORE), self.hashes[:-by]]), BEFORE)
+        """Hash of the word so many places before each token of the same text."""
+        out = np.empty(len(self.hashes), np.uint64)
+        out[by:] = self.hashes[:-by]
+        for i in range(by):
+            out[self.starts[self.sizes > i] + i] = BEFORE
+        return out
 
 
 class Model:
@@ -176,13 +179,19 @@ class Model:
     @staticmethod
     def class_features(one, two) -> list[np.ndarray]:
         """The word before, the two before, and the one before that by itself."""
-        rows = np.uint64(CLASS_ROWS - 1)
-        return [(h & rows).astype(np.int64) for h in (_mixed(one, 1), _mixed(one, 2, two), _mixed(two, 3))]
+        return [_mixed(h, salt, CLASS_ROWS, other) for h, salt, other in ((one, 1, 0), (one, 2, two), (two, 3, 0))]
+
+    @staticmethod
+    def leaf_features(one, which) -> list[np.ndarray]:
+        """The word before, for each class by itself."""
+        return [_mixed(one, 4, LEAF_ROWS, which)]
 
     @staticmethod
-    def leaf_features(one, two, which) -> list[np.ndarray]:
-        rows = np.uint64(LEAF_ROWS - 1)
-        return [(_mixed(h, 5 + i * (CLASSES + 1), which) & rows).astype(np.int64) for i, h in enumerate((one, two))]
+    def _summed(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+        out = weights.take(features[0], axis=0)
+        for f in features[1:]:
+            out += weights.take(f, axis=0)
+        return out
 
     @staticmethod
     def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -192,10 +201,14 @@ class Model:
         return scores
 
     def classes(self, features: list[np.ndarray]) -> np.ndarray:
-        return self._softmax(self.class_prior + sum(self.by_class[f] for f in features))
+        scores = self._summed(self.by_class, features)
+        scores += self.class_prior
+        return self._softmax(scores)
 
     def leaves(self, features: list[np.ndarray], which: np.ndarray) -> np.ndarray:
-        return self._softmax(self.leaf_prior[which] + sum(self.by_leaf[f] for f in features))
+        scores = self._summed(self.by_leaf, features)
+        scores += self.leaf_prior.take(which, axis=0)
+        return self._softmax(scores)
 
     def log_scores(self, tokens: Tokens, shares: Shares) -> np.ndarray:
         """Natural log probability of every token."""
@@ -204,11 +217,11 @@ class Model:
         for a in range(0, len(out), BATCH):
             one, two = (c[a : a + BATCH] for c in contexts)
             leaf = tokens.leaves[a : a + BATCH]
-            which = np.where(leaf < 0, RARE, leaf // LEAVES)
+            which = np.where(leaf < 0, RARE, leaf // LEAVES).astype(np.int64)
             p = self.classes(self.class_features(one, two))
             out[a : a + BATCH] += np.log(p[np.arange(len(leaf)), which].astype(np.float64))
             some = np.flatnonzero(leaf >= 0)
-            p = self.leaves(self.leaf_features(one[some], two[some], which[some]), which[some])
+            p = self.leaves(self.leaf_features(one[some], which[some]), which[some])
             out[a + some] += np.log(p[np.arange(len(some)), leaf[some] % LEAVES].astype(np.float64))
         return out
 
@@ -218,19 +231,21 @@ class Learner:
 
     def __init__(self, model: Model, past_class: np.ndarray, past_leaf: np.ndarray):
         self.model = model
-        self.squares = [START + PAST * past_class, START + PAST * past_leaf]
+        self.squares = [(START + PAST * past).astype(np.float32) for past in (past_class, past_leaf)]
         self.seen = [np.zeros(CLASS_ROWS, np.int64), np.zeros(LEAF_ROWS, np.int64)]
 
     def _step(self, table: int, features: list[np.ndarray], gradient: np.ndarray) -> None:
         weights, squares = (self.model.by_class, self.model.by_leaf)[table], self.squares[table]
         for f in features:
             # Row and place in one number, whose plain sort is much faster than sorting places.
-            ordered = np.sort(f * BATCH + np.arange(len(f)))
-            order, ordered = ordered % BATCH, ordered // BATCH
+            ordered = np.sort(f.astype(np.uint64) * np.uint64(BATCH) + np.arange(len(f), dtype=np.uint64))
+            order, ordered = (ordered % np.uint64(BATCH)).astype(np.int64), (ordered // np.uint64(BATCH)).astype(np.int64)
             starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            rows, sums = ordered[starts], np.add.reduceat(gradient[order], starts, axis=0)
-            squares[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
-            weights[rows] -= RATE * sums / np.sqrt(squares[rows])[:, None].astype(np.float32)
+            rows, sums = ordered[starts], np.add.reduceat(gradient.take(order, axis=0), starts, axis=0)
+            grown = squares[rows] + np.einsum("ij,ij->i", sums, sums) / np.float32(sums.shape[1])
+            squares[rows] = grown
+            sums *= (RATE / np.sqrt(grown))[:, None]
+            weights[rows] -= sums
             self.seen[table][rows] += np.diff(np.append(starts, len(f)))
 
     def learn(self, tokens: Tokens) -> None:
@@ -240,14 +255,14 @@ class Learner:
             at = kept[a : a + BATCH]
             one, two = (c[at] for c in contexts)
             leaf = tokens.leaves[at]
-            which = np.where(leaf < 0, RARE, leaf // LEAVES)
+            which = np.where(leaf < 0, RARE, leaf // LEAVES).astype(np.int64)
             features = self.model.class_features(one, two)
             gradient = self.model.classes(features)
             gradient[np.arange(len(at)), which] -= 1
             self._step(0, features, gradient)
             some = np.flatnonzero(leaf >= 0)
             if len(some):
-                features = self.model.leaf_features(one[some], two[some], which[some])
+                features = self.model.leaf_features(one[some], which[some])
                 gradient = self.model.leaves(features, which[some])
                 gradient[np.arange(len(some)), leaf[some] % LEAVES] -= 1
                 self._step(1, features, gradient)

@@ -254,7 +254,7 @@ def vocabulary():
     rng = np.random.default_rng(8)
     counts = [*rng.integers(2, 40, 300).tolist(), *[1] * 50, 0]
     order = np.cumsum(counts[:300])
-    leaves = [*((order - 1) * 256 // order[-1]).tolist(), *[-1] * 51]
+    leaves = [*((order - 1) * 240 // order[-1]).tolist(), *[-1] * 51]
     mass = Counter()
     for c, leaf in zip(counts[:300], leaves):
         mass[leaf] += c
@@ -289,13 +289,13 @@ def test_gradient_steps_lower_the_loss():
         learner.learn(tokens)
     assert model.log_scores(tokens, shares).mean() > before + 1
     # Each word after the first three is learned from once a pass, by every feature.
-    assert learner.seen[0].sum() == 5 * 3 * len(text) and learner.seen[1].sum() == 5 * 2 * sum(leaves[c] >= 0 for c in text)
+    assert learner.seen[0].sum() == 5 * 3 * len(text) and learner.seen[1].sum() == 5 * sum(leaves[c] >= 0 for c in text)
 
 
 def test_batches_do_not_change_scores(monkeypatch):
     counts, leaves, shares = vocabulary()
     tokens = language_model.Tokens(Row([i * 11 % 351 for i in range(500)], counts, leaves))
-    model = language_model.Model(shares, np.full((language_model.CLASS_ROWS, 17), 0.1, np.float32))
+    model = language_model.Model(shares, np.full((language_model.CLASS_ROWS, language_model.CLASSES + 1), 0.1, np.float32))
     whole = model.log_scores(tokens, shares)
     monkeypatch.setattr(language_model, "BATCH", 7)
     assert np.allclose(model.log_scores(tokens, shares), whole)
