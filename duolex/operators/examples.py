@@ -59,7 +59,7 @@ def build_examples(pairs: DataFrame, vocab: DataFrame, keys: Sequence[str], max_
         *keys, "_side", F.posexplode_outer("_words").alias("_at", "_term")
     )
     known = vocab.select(F.col("term").alias("_term"), F.col("id").alias("_id"), F.col("count").alias("_count"))
-    found = lookup_join(words, known, ["_term"], [F.desc("_count"), F.col("_term")], [*keys, "_side", "_at"])
+    found = lookup_join(words, known, ["_term"], [F.desc("_count"), F.col("_term")])
     # A text without words still has its row, with a null position.
     token = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("id")))
 

@@ -8,9 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duolex.session import materialize
+
 # The broadcast part of a lookup never has more rows than this, nor longer keys.
 HOT_ROWS = 10_000
 HOT_KEY_LENGTH = 64
+# A key that so many unsettled rows share is looked up once and sent to them.
+HEAVY_ROWS = 100_000
 # A dimension is broadcast only after counting that it has no more rows than this.
 SMALL_ROWS = 10_000
 
@@ -39,35 +43,43 @@ def lookup_join(
     table: DataFrame,
     keys: Sequence[str],
     heaviest_first: Sequence[Column],
-    unique: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Left join to a table with distinct keys, where a few keys may hold most of the rows.
 
-    The `hot_rows` heaviest entries of the table are broadcast and settle their rows in place.
-    Only the other rows are shuffled. Settled rows would all carry a null key into that
-    shuffle, so they get a key of their own made from the `unique` columns, which spreads them
-    evenly and matches nothing.
+    The `hot_rows` heaviest entries of the table are broadcast; the rows they settle go straight
+    into the result and are never shuffled. The other rows are stored, and the keys that still
+    have `heavy_rows` of them or more, entry or not, are looked up once each and settled by
+    broadcast too. Only what is left meets the table by shuffle. `df` is computed twice, so rows
+    that were dear to make are best stored before.
     """
     keys = list(keys)
     values = [c for c in table.columns if c not in keys]
-    last = keys[-1]
-    hot = (
-        table.filter(F.length(F.col(last).cast("string")) <= HOT_KEY_LENGTH)
-        .orderBy(*heaviest_first)
-        .limit(hot_rows)
-        .select(*keys, F.struct(*values).alias("_hot"))
-    )
-    settled = df.join(F.broadcast(hot), keys, "left")
-    spread = F.concat_ws("\x00", F.lit("\x00"), *[F.col(c).cast("string") for c in unique])
-    to_find = F.col("_hot").isNull() & F.col(last).isNotNull()
-    settled = settled.withColumn("_probe", F.when(to_find, F.col(last).cast("string")).otherwise(spread))
-    cold = table.select(
-        *keys[:-1], F.col(last).cast("string").alias("_probe"), F.struct(*values).alias("_cold")
-    )
-    joined = settled.join(cold, [*keys[:-1], "_probe"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*df.columns, *[found[v].alias(v) for v in values])
+
+    def sendable(frame: DataFrame) -> DataFrame:
+        return frame.filter(F.coalesce(F.length(F.col(keys[-1]).cast("string")), F.lit(0)) <= HOT_KEY_LENGTH)
+
+    def settled_by(rows: DataFrame, entries: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(entries), keys).select(*df.columns, *[F.col("_entry")[v].alias(v) for v in values])
+
+    hot = sendable(table).orderBy(*heaviest_first).limit(hot_rows)
+    hot = materialize(hot.select(*keys, F.struct(*values).alias("_entry")), "hot")
+    out = settled_by(df, hot)
+    rest = materialize(df.join(F.broadcast(hot), keys, "left_anti"), "unsettled")
+    counts = sendable(rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= heavy_rows))
+    counts = counts.dropna(subset=keys)
+    if not counts.isEmpty():
+        heavy = counts.orderBy(F.desc("_rows"), *keys).limit(HOT_ROWS).drop("_rows")
+        entries = table.join(F.broadcast(heavy), keys, "right").select(*keys, F.struct(*values).alias("_entry"))
+        entries = materialize(entries, "heavy-entries")
+        out = out.unionByName(settled_by(rest, entries))
+        rest = rest.join(F.broadcast(entries), keys, "left_anti")
+    # A null key meets nothing and needs no partner.
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    cold = rest.filter(whole).join(table, keys, "left").select(*df.columns, *values)
+    unkeyed = rest.filter(~whole).select(*df.columns, *[F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values])
+    return out.unionByName(cold).unionByName(unkeyed)
 
 
 def alignment_check(left: DataFrame, right: DataFrame) -> DataFrame:

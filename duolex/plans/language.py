@@ -11,6 +11,7 @@ from duolex.functions import text as tx
 from duolex.operators import spelling as sp
 from duolex.operators.filters import correction_gate
 from duolex.operators.frequency import MIN_FREQUENCY, most_common, word_frequency
+from duolex.operators.fuzzy import open_index, write_index
 from duolex.operators.inference import Translator, translate
 from duolex.operators.meteor import meteor_corpus, meteor_row
 from duolex.operators.ordering import latest_n
@@ -21,18 +22,24 @@ from duolex.sources import tables as tb
 LANGUAGE_CODES = {"English": "en", "Turkish": "tr"}
 
 
-def build_dictionary(spark: SparkSession, corpus: str, languages: str, output: str, min_count: int = MIN_FREQUENCY) -> DataFrame:
-    """Count the words of every table below `corpus` and store one dictionary per language."""
+def build_dictionary(
+    spark: SparkSession,
+    corpus: str,
+    languages: str,
+    output: str,
+    min_count: int = MIN_FREQUENCY,
+    index: str | None = None,
+) -> DataFrame:
+    """Count the words of every table below `corpus` and store one dictionary per language, and
+    the index that lookups in it use, if a place for it is named."""
     columns = ["source", "target", "source_lang", "target_lang"]
     entries = tb.read_dir(spark, corpus, columns)
     dimension = tb.read_json_array(spark, languages, tb.LANGUAGE_SCHEMA)
     tb.write_dictionary(word_frequency(entries, dimension, min_count), output)
-    return most_common(tb.read_dictionary(spark, output))
-
-
-def write_delete_index(dictionary: DataFrame, path: str) -> None:
-    """Store the delete neighbourhoods of a dictionary, partitioned by language."""
-    sp.delete_index(dictionary).write.mode("overwrite").partitionBy("iso").parquet(path)
+    stored = tb.read_dictionary(spark, output)
+    if index:
+        write_index(stored, index)
+    return most_common(stored)
 
 
 def correct_text(
@@ -41,11 +48,16 @@ def correct_text(
     languages: Sequence[str],
     key: str = "doc_id",
     codes: dict[str, str] | None = None,
+    index: str | None = None,
 ) -> DataFrame:
-    """(key, rank, sentence) for the texts of (key, text, lang) that pass the gate."""
+    """(key, rank, sentence) for the texts of (key, text, lang) that pass the gate.
+
+    `index` is where the dictionary's index is stored; without it one is made for this call.
+    """
     gated = correction_gate(texts, languages)
     coded = gated.select(key, tx.lang_code("lang", LANGUAGE_CODES if codes is None else codes).alias("iso"), "text")
-    return sp.correct_texts(coded, dictionary, key)
+    opened = open_index(texts.sparkSession, index) if index else None
+    return sp.correct_texts(coded, dictionary, key, opened)
 
 
 def evaluate_translations(

@@ -219,10 +219,39 @@ def test_plain_clean_corpus(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("row_index").collect()] == [(i, f"en {i}", f"tr {i}") for i in range(50)]
 
 
-def test_lookup_join_hot_and_cold(spark):
+@pytest.mark.parametrize("heavy", [10, 10**6])
+def test_lookup_join_hot_and_cold(spark, heavy):
     rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 50}") for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, key string")
     table = spark.createDataFrame([("hot", 1, 1000)] + [(f"k{i}", i, 1) for i in range(0, 50, 2)], "key string, v int, w int")
-    got = {r.id: r.v for r in jn.lookup_join(df, table, ["key"], [F.desc("w")], ["id"], hot_rows=1).collect()}
+    got = {r.id: r.v for r in jn.lookup_join(df, table, ["key"], [F.desc("w")], hot_rows=1, heavy_rows=heavy).collect()}
     known = {"hot": 1, **{f"k{i}": i for i in range(0, 50, 2)}}
     assert got == {i: known.get(k) for i, k in rows}
+
+
+def shuffled_records(spark, run):
+    """Rows that all stages of a run wrote to shuffles."""
+    sc = spark.sparkContext
+
+    def written() -> int:
+        none = sc._gateway.new_array(sc._gateway.jvm.double, 0)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+@pytest.mark.parametrize("hot_rows, heavy", [(1, 10**6), (0, 1000)])
+def test_settled_rows_are_not_shuffled(spark, tmp_path, hot_rows, heavy):
+    """One key has nearly all rows: as the heaviest entry, or only found to be heavy; a second one has no entry."""
+    rows = spark.range(60_000).withColumn("key", F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 < 9, "none").otherwise(F.concat(F.lit("k"), F.col("id") % 7)))
+    rows = rows if hot_rows == 0 else rows.filter("key <> 'none'")
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    table = spark.createDataFrame([("hot", 1, 1000)] + [(f"k{i}", i, 1) for i in range(5)], "key string, v int, w int")
+    joined = lambda: jn.lookup_join(df, table, ["key"], [F.desc("w")], hot_rows=hot_rows, heavy_rows=heavy)
+    assert joined().filter("v = 1 AND key = 'hot'").count() == df.filter("key = 'hot'").count()
+    written = shuffled_records(spark, lambda: joined().write.format("noop").mode("overwrite").save())
+    assert written < 8_000
