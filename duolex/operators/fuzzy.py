@@ -126,9 +126,10 @@ def write_index(dictionary: DataFrame, path: str, distance: int = MAX_EDIT_DISTA
     n = F.least(F.length("term"), F.lit(DELETE_MAX)).cast("long")
     rows = terms.agg(F.coalesce(F.sum(1 + n + (n * (n - 1) / 2).cast("long")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
-    short = delete_keys(terms.filter(F.length("term") <= DELETE_MAX), "term", distance).filter("key <> ''")
-    for name, wanted in (("near", F.col("edits") <= 1), ("far", F.col("edits") > 1)):
-        keys = short.filter(wanted).select("iso", "key", "term", "count").repartition(buckets, "iso", "key")
+    short = terms.filter(F.length("term") <= DELETE_MAX)
+    near, far = delete_keys(short, "term", 1), delete_keys(short, "term", distance).filter("edits > 1")
+    for name, rows in (("near", near), ("far", far)):
+        keys = rows.filter("key <> ''").select("iso", "key", "term", "count").repartition(buckets, "iso", "key")
         # Letters in another order of removal can leave the same key; the rows of a key lie together.
         _stored(keys.dropDuplicates(["iso", "key", "term"]), path, name, buckets)
     least = DELETE_MAX + 1 - distance

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duolex.operators.joins import join_null_safe
 
@@ -16,6 +22,48 @@ def _silent(value: str, empty: str):
     return F.col(value).isNotNull() & (F.col(value) != empty)
 
 
+def settle(pending: list, gap: int, passed: int) -> tuple[list, list]:
+    """Split (micros, order, value) into what fires and what stays, once no event up to `passed` can come.
+
+    An event within the gap of a later one never fires; it stays only as long as an event still to
+    come could be older. Of the others those whose quiet has passed leave.
+    """
+    pending = sorted(pending, key=lambda e: (e[0], (e[1] is not None, e[1])))
+    fires, stays = [], []
+    for event, later in zip(pending, [*pending[1:], None]):
+        replaced = later is not None and later[0] - event[0] <= gap
+        if event[0] + (0 if replaced else gap) > passed:
+            stays.append(event)
+        elif not replaced:
+            fires.append(event)
+    return fires, stays
+
+
+def _timers(key: str, value: str, gap: int, empty: str):
+    """Keeps each key's open events, with one timer for the first that may fire; a key's row lists what fires."""
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending = json.loads(state.get[0]) if state.exists else []
+        for batch in batches:
+            rows = batch.astype(object).where(batch.notna(), None)
+            pending += zip(map(int, rows["_at"]), rows["_order"], rows[value])
+        # Before the first watermark nothing has passed.
+        passed = max(state.getCurrentWatermarkMs(), 0) * 1000
+        fires, stays = settle(pending, gap, passed)
+        if stays:
+            state.update((json.dumps(stays),))
+            # The earliest time at which one of them has seen its quiet; a later event of the key
+            # moves it, an empty one leaves nothing to fire at it.
+            state.setTimeoutTimestamp(min(-(-(e[0] + gap) // 1000) for e in settle(stays, gap, 1 << 62)[0]))
+        elif state.exists:
+            state.remove()
+        told = [e for e in fires if e[2] is not None and e[2] != empty]
+        if told:
+            yield pd.DataFrame({key: [group[0]], "_fired": [[{"_at": e[0], value: e[2]} for e in told]]})
+
+    return run
+
+
 def debounce_stream(
     events: DataFrame,
     key: str,
@@ -28,19 +76,21 @@ def debounce_stream(
 ) -> DataFrame:
     """(key, fired_at, value) over a stream of (key, ts TIMESTAMP, value, order).
 
-    Session windows of the gap hold the open input of each key; `order` breaks equal times.
-    Events later than the watermark are dropped. The watermark is never shorter than the gap.
+    Each key has its open events as state, carried from batch to batch, and a timer on event time
+    that every new event sets anew; an empty value cancels what was waiting. `order` breaks equal
+    times. Events later than the watermark are dropped. The watermark is never shorter than the gap.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     delay = max(gap_seconds, watermark_seconds or 0)
-    last = F.max_by(value, F.struct(ts, order)).alias(value)
-    sessions = (
-        events.withWatermark(ts, f"{delay} seconds")
-        .groupBy(F.session_window(ts, f"{gap_seconds} seconds"), key)
-        .agg(last)
+    gap = gap_seconds * 1_000_000
+    typed = events.withWatermark(ts, f"{delay} seconds").filter(F.col(ts).isNotNull())
+    typed = typed.select(key, ts, F.unix_micros(ts).alias("_at"), F.col(order).alias("_order"), value)
+    fires = T.ArrayType(T.StructType([T.StructField("_at", T.LongType()), typed.schema[value]]))
+    out = T.StructType([typed.schema[key], T.StructField("_fired", fires)])
+    fired = typed.groupBy(key).applyInPandasWithState(
+        _timers(key, value, gap, empty), out, "pending string", "append", GroupStateTimeout.EventTimeTimeout
     )
-    fired = sessions.select(key, F.col("session_window.end").alias("fired_at"), value)
-    return fired.filter(_silent(value, empty))
+    each = fired.select(key, F.inline("_fired"))
+    return each.select(key, F.timestamp_micros(F.col("_at") + gap).alias("fired_at"), value)
 
 
 def debounce(

@@ -98,3 +98,40 @@ def test_state_frequency(spark):
     live = sf.stream_frequency(spark.readStream.schema(df.schema).parquet(path))
     drain(live, lambda batch, i: batch.write.mode("overwrite").parquet(seen), mode="complete")
     assert {(r.term, r["count"]) for r in spark.read.parquet(seen).collect()} == {("x", 2), ("y", 1)}
+
+
+def test_timers_carry_over_batches(spark):
+    """One file a trigger: input stays open over batches, is replaced or cancelled by a later one, and fires in time."""
+    batches = [
+        [("a", 0, "x"), ("b", 0, "x"), ("c", 0, "x"), ("d", 0, "x"), (None, 0, "n")],
+        [("a", 3, "y"), ("b", 3, ""), ("e", 3.5, "late enough")],
+        [("d", 5.5, "z"), ("e", 2, "older"), ("f", 30, "w")],
+        [("f", 22, "just in time"), ("g", 31, ""), ("g", 31, "same time")],
+        [("f", 20, "too late"), ("closing", 100, "q")],
+    ]
+    path, output = scratch_path(spark, "in"), scratch_path(spark, "out")
+    for rows in batches:
+        events(spark, rows).coalesce(1).write.mode("append").parquet(path)
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.getAll
+    live = spark.readStream.schema(events(spark, batches[0]).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drain(db.debounce_stream(live, "key", "ts", "value", "seq", 4), output=output)
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.getAll)
+    got = {(r.key, (r.fired_at - START).total_seconds(), r.value) for r in spark.read.parquet(output).collect()}
+    assert got == {
+        ("a", 7, "y"), ("c", 4, "x"), ("d", 4, "x"), (None, 4, "n"), ("d", 9.5, "z"), ("e", 7.5, "late enough"),
+        ("f", 26, "just in time"), ("f", 34, "w"), ("g", 35, "same time"),
+    }
+
+
+def test_batches_in_any_order_within_the_watermark(spark):
+    rng = random.Random(6)
+    rows = sorted(((f"k{rng.randint(0, 4)}", round(rng.uniform(0, 300), 3), rng.choice(["", "u", "v"])) for _ in range(500)), key=lambda r: r[1])
+    batch = events(spark, rows)
+    order = sorted(range(len(rows)), key=lambda i: rows[i][1] + rng.uniform(0, 15))
+    path, output = scratch_path(spark, "in"), scratch_path(spark, "out")
+    for a in range(0, 500, 100):
+        batch.filter(F.col("seq").isin(order[a : a + 100])).coalesce(1).write.mode("append").parquet(path)
+    events(spark, [("closing", 10_000, "z")]).coalesce(1).write.mode("append").parquet(path)
+    live = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drain(db.debounce_stream(live, "key", "ts", "value", "seq", 2, watermark_seconds=20), output=output)
+    assert shown(spark.read.parquet(output)) == shown(db.debounce(batch, "key", "ts", "value", "seq", 2))
