@@ -33,6 +33,17 @@ def fix_misread(spark, d):
     return b.documents(spark, d).select("doc_id", fix_text(misread).alias("text"))
 
 
+@query("fix_text_runs", "SELECT doc_id, text || ' 😀 ' || text || ' naïve café 😀 жук' AS text FROM documents")
+def fix_runs(spark, d):
+    """Texts half misread twice and half as they were, between an emoji as it was and a misread one."""
+
+    def misread(text):
+        return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+    mixed = F.concat(misread(misread(F.col("text"))), F.lit(" 😀 "), "text", F.lit(" naïve "), misread(F.lit("café 😀 жук")))
+    return b.documents(spark, d).select("doc_id", fix_text(mixed).alias("text"))
+
+
 @query("strip_tags", f"SELECT page_id, {b.sql_tags('html')} AS text FROM pages")
 def strip_tags(spark, d):
     return table(spark, d, "pages").select("page_id", tx.strip_tags("html").alias("text"))

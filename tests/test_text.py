@@ -173,3 +173,35 @@ def test_osa(spark):
     for a, b, got in df.select("a", "b", osa_distance("a", "b", 2)).collect():
         true = osa_plain(a, b)
         assert got == (true if true <= 2 else None), (a, b)
+
+
+def _misread(text, codec="latin-1"):
+    return text.encode().decode(codec)
+
+
+RUNS = [
+    # A genuine emoji and one misread word.
+    ("😀 caf" + _misread("é") + " 😀", "😀 café 😀"),
+    # Misread twice and three times beside text that was not.
+    ("naïve " + _misread(_misread("déjà")) + " œuvre 漢字", "naïve déjà œuvre 漢字"),
+    ("漢 " + _misread(_misread(_misread("ü"))), "漢 ü"),
+    # By windows-1252, an emoji too.
+    ("漢 " + _misread("’ € œ 😊", "cp1252"), "漢 ' € œ 😊"),
+    ("漢 ÃƒÂ©", "漢 é"),
+    # Letters that could be meant count where others can't.
+    ("漢 Ä±ÅŸÄ±k Ä±", "漢 ışık ı"),
+    ("漢 CAFÉ» DÉJÀ", "漢 CAFÉ» DÉJÀ"),
+    # The whole text misread, and text that only looks unusual.
+    (_misread("żółw"), "żółw"),
+    ("São Paulo – Ärger", "São Paulo – Ärger"),
+    # A run longer than is taken at once.
+    ("漢 " + _misread("жук" * 400), "漢 " + "жук" * 400),
+]
+
+
+def test_misread_runs_are_repaired(spark):
+    from duolex.functions.repair import fix_text
+
+    frame = spark.createDataFrame([(i, given) for i, (given, _) in enumerate(RUNS)], "id int, text string")
+    got = {r.id: r.text for r in frame.select("id", fix_text(F.col("text")).alias("text")).collect()}
+    assert got == {i: wanted for i, (_, wanted) in enumerate(RUNS)}
