@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duolex.llm.common import documents, query, ranged
-from duolex.session import materialize
+from duolex.session import materialize, scratch_path
 
 #: Words are terms by a hash of so many bits, so that the lexicon is a bitmap of fixed size.
 LEXICON_BITS = 20
@@ -79,6 +79,16 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, bitmap: Column) -> D
     return rows.drop("_every", "_known", "_draws", *steps, *[f"_quarter{q}" for q in range(4)])
 
 
+def packed(name: str) -> Column:
+    """A fingerprint in half the bytes; the digest of a text without terms stays as it is."""
+    return F.when(F.col(name).startswith("#"), F.col(name).cast("binary")).otherwise(F.unhex(name))
+
+
+def unpacked(name: str) -> Column:
+    size = LEVELS * SUBSETS * DIGITS // 2
+    return F.when(F.octet_length(name) == size, F.lower(F.hex(name))).otherwise(F.col(name).cast("string"))
+
+
 def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Adds the share of lexicon subsets with equal hashes, of those in which either text has a term."""
 
@@ -130,30 +140,33 @@ def compared(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = rows.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
     bitmap = lexicon(rows)
     order = materialize(neighbours(rows), "neighbours")
+    # Each text's own fingerprint is made once and moves with it; both joins read the same shuffle.
+    rows = with_fingerprint(rows, "text", "_print", bitmap).withColumn("_print", packed("_print"))
     third = F.floor(F.col("n") / 3).cast("int")
 
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     gives = order.select(
         F.col("next_id").alias("_id"), F.col("next_digest").alias("_digest"), F.col("id").alias("to_id"), F.col("digest").alias("to_digest"), third.alias("_third")
     )
-    given = rows.join(gives, same).select("to_id", "to_digest", "text", "_third")
-    given = with_fingerprint(given, "text", "next_print", bitmap)
-    given = given.select("to_id", "to_digest", F.col("text").substr(F.lit(1), F.col("_third")).alias("start"), "next_print")
+    start = F.col("text").substr(F.lit(1), F.col("_third")).alias("start")
+    given = rows.join(gives, same).select("to_id", "to_digest", start, F.col("_print").alias("_next"))
     # Rows repeated as a whole give the same start again.
     given = given.dropDuplicates(["to_id", "to_digest"])
     taken = rows.join(given, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("digest") == F.col("to_digest")))
     n = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("start"))
-    taken = taken.select(F.col("id").alias(key), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_print")
-    taken = with_fingerprint(with_fingerprint(taken, "text", "fingerprint", bitmap), "edited", "edited_fingerprint", bitmap)
-    return taken.drop("text")
+    prints = [unpacked("_print").alias("fingerprint"), unpacked("_next").alias("next_print")]
+    taken = taken.select(F.col("id").alias(key), n.cast("long").alias("n_chars"), edited.alias("edited"), *prints)
+    return with_fingerprint(taken, "edited", "edited_fingerprint", bitmap)
 
 
 @query("op7_imatch")
 def op7_imatch(spark, sf_dir):
     rows = compared(documents(spark, sf_dir))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
-    # The hashes are costly and read several times below: computed once.
-    rows = materialize(rows, "fingerprints")
+    # The hashes are costly and read several times below: computed once, and stored well packed.
+    path = scratch_path(spark, "fingerprints")
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     rows = with_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
     return with_likeness(rows, "fingerprint", "next_print", "near_next").drop("next_print")
