@@ -21,6 +21,12 @@ Encoder = Callable[[list[str]], np.ndarray]
 Translator = Callable[[list[str]], Sequence[str]]
 
 
+def _vectors(model: Encoder, texts: pd.Series, chunk: int) -> list[np.ndarray]:
+    filled = texts.fillna("").tolist()
+    parts = [model(filled[i : i + chunk]) for i in range(0, len(filled), chunk)]
+    return [v for part in parts for v in np.asarray(part, dtype=np.float32)]
+
+
 def encode(text: Column | str, load_encoder: Callable[[], Encoder], chunk: int = CHUNK_SIZE) -> Column:
     """Vector of each text. The model is loaded once per worker process and partition."""
 
@@ -28,13 +34,23 @@ def encode(text: Column | str, load_encoder: Callable[[], Encoder], chunk: int =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_encoder()
         for texts in batches:
-            filled = texts.fillna("").tolist()
-            parts = [model(filled[i : i + chunk]) for i in range(0, len(filled), chunk)]
-            yield pd.Series([v for part in parts for v in np.asarray(part, dtype=np.float32)], index=texts.index)
+            yield pd.Series(_vectors(model, texts, chunk), index=texts.index)
 
     return run(F.col(text) if isinstance(text, str) else text)
 
 
+def encode_pair(a: str, b: str, load_encoder: Callable[[], Encoder], chunk: int = CHUNK_SIZE) -> Column:
+    """Struct (a, b) of the vectors of two columns, from one pass and one loaded model."""
+
+    @F.pandas_udf("a array<float>, b array<float>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model = load_encoder()
+        for first, second in batches:
+            yield pd.DataFrame({"a": _vectors(model, first, chunk), "b": _vectors(model, second, chunk)})
+
+    return run(F.col(a), F.col(b))
+
+
 def hashing_encoder(dim: int = 64) -> Encoder:
     """A model-free encoder for tests: words hashed into a count vector."""
 

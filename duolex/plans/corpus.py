@@ -11,7 +11,7 @@ from duolex.functions.vectors import pair_cosine
 from duolex.operators import datasets as ds
 from duolex.operators import filters as fl
 from duolex.operators import ordering as od
-from duolex.operators.inference import Encoder, encode
+from duolex.operators.inference import Encoder, encode_pair
 from duolex.operators.joins import alignment_check, zip_rows
 from duolex.operators.reports import retention_report
 from duolex.session import materialize
@@ -26,8 +26,8 @@ def score_pairs(pairs: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFr
     The identity filter comes first because a model run does not let filters pass below it.
     """
     kept = fl.drop_identical(pairs)
-    vectors = kept.withColumn("_a", encode("source", load_encoder)).withColumn("_b", encode("target", load_encoder))
-    return vectors.withColumn("score", pair_cosine("_a", "_b")).drop("_a", "_b")
+    vectors = kept.withColumn("_vectors", encode_pair("source", "target", load_encoder))
+    return vectors.withColumn("score", pair_cosine(F.col("_vectors.a"), F.col("_vectors.b"))).drop("_vectors")
 
 
 def clean_corpus(

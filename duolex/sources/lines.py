@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from duolex.functions.text import strip
 from duolex.operators.joins import join_small
+from duolex.session import materialize
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_index, text): lines in file order, files in name order, both ends stripped.
 
     Spark reads a large file as several byte ranges. Inside a range the generated ids are
-    consecutive, so one pass counts the lines of every range, the counts add up to offsets per
-    range, and the second pass adds them. Only the table of ranges is ever ordered.
+    consecutive, so one pass counts the lines of every range into a stored table, the counts add
+    up to offsets per range, and the second pass adds them. Only the table of ranges is ever
+    ordered, and the text is read twice in all.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
@@ -25,6 +27,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     ranges = raw.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
     )
+    ranges = materialize(ranges, "line-ranges")
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     files = ranges.groupBy("_file").agg(F.sum("_n").alias("_rows"))
     by_name = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)

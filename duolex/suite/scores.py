@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duolex.functions.vectors import pair_cosine
@@ -169,25 +172,34 @@ def _letters(e: str) -> str:
     return "[" + ", ".join(f"(length({e}) - length(replace({e}, '{chr(c)}', '')))::DOUBLE" for c in range(97, 123)) + "]"
 
 
+# Every document with the next one; a data set for each source language, numbered from 0.
+NUMBERED_PAIRS = f"""{b.PAIRS.replace("pairs AS (", "every_pair AS (")},
+numbered AS (SELECT dataset, source, target, row_number() OVER (PARTITION BY dataset ORDER BY row_index) - 1 AS row_index FROM every_pair)"""
+
+
 @query(
     "clean_corpus",
-    f"""WITH {b.SIDES},
-        lined AS (SELECT row_index, {b.sql_strip(st.FLAT.replace('text', 'source'))} AS source,
-                         {b.sql_strip(st.FLAT.replace('text', 'target'))} AS target FROM pairs WHERE dataset = 'en-de'),
+    f"""WITH {NUMBERED_PAIRS},
+        lined AS (SELECT dataset, row_index, {b.sql_strip(st.FLAT.replace('text', 'source'))} AS source,
+                         {b.sql_strip(st.FLAT.replace('text', 'target'))} AS target FROM numbered),
         differing AS (SELECT *, {_letters('source')} AS x, {_letters('target')} AS y FROM lined WHERE source <> target),
         scored AS (SELECT *, CASE WHEN list_dot_product(x, x) = 0 OR list_dot_product(y, y) = 0 THEN 0
                                   ELSE list_cosine_similarity(x, y) END AS score FROM differing)
-        SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, source, target FROM scored WHERE score >= 0.8""",
+        SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY row_index) - 1 AS row_index, source, target
+        FROM scored WHERE score >= 0.8""",
 )
 def clean_corpus(spark, d):
+    """All documents as two text files for each data set, each cleaned by the plan."""
     folder, output = scratch_path(spark, "text"), scratch_path(spark, "cleaned")
-    docs = b.documents(spark, d)
-    for lang in ("en", "de"):
-        st._write_lines(docs.filter(F.col("lang") == lang), f"{folder}/docs-{lang}.txt")
-    corpus.clean_corpus(
-        spark, folder, output, "docs", "en", "de", letter_encoder, threshold=0.8, on_mismatch="truncate"
-    )
-    return pr.read_parquet_pair(spark, pr.side_path(output, "docs", "en"), pr.side_path(output, "docs", "de"))
+    pairs = b.pairs(spark, d)
+    cleaned = []
+    for name in b.LANGUAGES:
+        for side, column in (("from", "source"), ("to", "target")):
+            st._write_lines(pairs.filter(F.col("dataset") == name), f"{folder}/{name}-{side}.txt", "row_index", column)
+        corpus.clean_corpus(spark, folder, output, name, "from", "to", letter_encoder, threshold=0.8)
+        sides = [pr.side_path(output, name, side) for side in ("from", "to")]
+        cleaned.append(pr.read_parquet_pair(spark, *sides).select(F.lit(name).alias("dataset"), "row_index", "source", "target"))
+    return functools.reduce(DataFrame.unionByName, cleaned)
 
 
 VOCABULARY = f"""{st.DICTIONARY},
@@ -230,27 +242,22 @@ def build_examples(spark, d):
     return made.withColumns(lists)
 
 
-EARLY = "source < 'src15'"
-
-
 @query(
     "prepare_corpus",
-    f"""WITH named AS (SELECT doc_id, lang, text, CASE WHEN {EARLY} THEN 'early' ELSE 'late' END AS dataset FROM documents),
-        placed AS (SELECT *, row_number() OVER (PARTITION BY dataset, lang ORDER BY doc_id) - 1 AS row_index FROM named),
-        zipped AS (SELECT s.dataset, s.row_index, s.text AS source, t.text AS target, 'en' AS source_lang, 'de' AS target_lang
-                   FROM placed s JOIN placed t USING (dataset, row_index) WHERE s.lang = 'en' AND t.lang = 'de' AND row_index >= 2),
-        pairs AS (SELECT * FROM zipped),
+    f"""WITH {NUMBERED_PAIRS},
+        pairs AS (SELECT dataset, row_index, source, target, 'left' AS source_lang, 'right' AS target_lang FROM numbered WHERE row_index >= 2),
         {st.MIRRORED[len(b.PAIRS) + 2:]}
         SELECT {st.TAGGED}, split, {st.POSITION} FROM both_ways""",
 )
 def prepare_corpus(spark, d):
+    """All documents as the two sides of a data set for each language."""
     base, output = scratch_path(spark, "base"), scratch_path(spark, "prepared")
-    docs = b.documents(spark, d)
-    for name, chosen in (("early", F.expr(EARLY)), ("late", ~F.expr(EARLY))):
-        for lang in ("en", "de"):
-            side = docs.filter(chosen & (F.col("lang") == lang)).orderBy("doc_id").select(F.col("text").alias(lang))
-            side.write.parquet(pr.side_path(f"{base}/{name}", name, lang))
-    corpus.prepare_corpus(spark, base, ["early", "late"], "en", "de", output, start=2)
+    pairs = b.pairs(spark, d)
+    for name in b.LANGUAGES:
+        for side, column in (("left", "source"), ("right", "target")):
+            rows = pairs.filter(F.col("dataset") == name).orderBy("row_index").select(F.col(column).alias(side))
+            rows.write.parquet(pr.side_path(f"{base}/{name}", name, side))
+    corpus.prepare_corpus(spark, base, b.LANGUAGES, "left", "right", output, start=2)
     return tb.read_splits(spark, output).select(*tb.TAGGED_SCHEMA.fieldNames(), "split", "position")
 
 

@@ -23,10 +23,10 @@ from duolex.suite.base import query, table
 FLAT = r"regexp_replace(text, '[\r\n]+', ' ', 'g')"
 
 
-def _write_lines(frame, path):
+def _write_lines(frame, path, order="doc_id", text="text"):
     """Texts as lines in id order, over several files."""
-    flat = frame.select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("value"))
-    flat.orderBy("doc_id").select("value").write.text(path)
+    flat = frame.select(order, F.regexp_replace(text, r"[\r\n]+", " ").alias("value"))
+    flat.orderBy(order).select("value").write.text(path)
 
 
 @query(
