@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duolex.llm.common import documents, held_out, joined_bytes, query, text_blocks
+from duolex.operators.joins import join_small
 
 UNKNOWN = "und"
 #: Documents a language gives to the training sample on average, pieces of each, characters of a piece.
 SAMPLE_DOCS, SAMPLE_PIECES, PIECE = 400, 4, 64
-#: The languages that are learned are the most frequent ones.
-LANGUAGES = 64
+#: Documents of the whole sample; with more than 64 languages each gives an equal part of them.
+SAMPLE_ALL = 64 * SAMPLE_DOCS
 HIDDEN = 8
 #: Bytes that one run of the network covers; a text is cut into as many runs as it needs.
 RUN = 256
@@ -174,14 +175,16 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
 def sample_pieces(docs: DataFrame, key: str) -> tuple[list[str], np.ndarray, list[str]]:
     """Pieces of a sample of the labelled rows that may be learned from, their labels, the languages.
 
-    A language gives about SAMPLE_DOCS documents (all if it has fewer), chosen by a hash of the
-    key, and each of them pieces from hashed places of its text.
+    Every language gives about SAMPLE_DOCS documents (all if it has fewer, and an equal part of
+    SAMPLE_ALL if there are many languages), chosen by a hash of the key and at least the one of
+    smallest hash, and each of them pieces from hashed places of its text.
     """
     known = docs.filter(~held_out(F.col(key)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select(F.col(key).alias("_key"), "lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = F.lit(float(SAMPLE_DOCS)) / F.col("count")
-    chosen = known.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    draw = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(draw).alias("least"))
+    each = min(SAMPLE_DOCS, SAMPLE_ALL / max(counts.count(), 1))
+    chosen = join_small(known, counts, "lang").filter((draw < F.lit(float(each)) / F.col("count")) | (draw == F.col("least")))
     span = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
     places = [F.substring("text", (F.pmod(F.xxhash64("_key", F.lit(i)), span) + 1).cast("int"), F.lit(PIECE)) for i in range(SAMPLE_PIECES)]
     rows = chosen.select("lang", F.explode(F.array(*places)).alias("piece")).distinct().orderBy("lang", "piece").toPandas()
@@ -209,6 +212,7 @@ def language_of(docs: DataFrame, key: str = "doc_id"):
         text = F.coalesce(text, F.lit(""))
         return label(text, text.rlike(r"\p{L}"))
 
+    column.languages = languages
     return column
 
 

@@ -179,6 +179,16 @@ def test_languages_of_odd_rows(odd, empty):
     assert rows(languages.identify(empty)) == []
 
 
+def test_every_language_is_learned(spark):
+    """More languages than any fixed number, most with one document beside a frequent one."""
+    rows = [(i, chr(0x4E00 + i % 90) * 30, f"l{i % 90}") for i in range(400)] + [(1000 + i, "abc " * 9, "en") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r.lang for r in docs.filter(~languages.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    pieces, labels, names = languages.sample_pieces(docs, "doc_id")
+    assert set(names) == learned and len(learned) > 85
+    assert set(labels) == set(range(len(names))) and len(pieces) == len(labels)
+
+
 def test_gradients_of_the_network():
     net = languages.Network(3, hidden=4)
     x = np.random.default_rng(1).integers(0, 257, (6, 5)).astype(np.int16)

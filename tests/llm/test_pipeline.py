@@ -30,7 +30,7 @@ def test_stages(spark, folder, small):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     said = {r["doc_id"]: r for r in languages.identify(docs).collect()}
     kept = corpus_pipeline.keep_languages(spark, docs, folder)
-    assert ids(kept) == sorted(i for i, r in said.items() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_LANGUAGE)
+    assert ids(kept) == sorted(i for i, r in said.items() if r["lang_pred"] != "und" and r["score"] >= 0.25 + corpus_pipeline.LEAST_LANGUAGE * 0.75)
     assert not {9101, 9102} & set(ids(kept)) and len(ids(kept)) > 0.97 * small.count()
     near = corpus_pipeline.drop_near_duplicates(spark, kept, folder)
     assert 9100 not in ids(near)
