@@ -24,9 +24,10 @@ from duolex.session import materialize
 
 #: A block of coded documents ends after so many bytes of text.
 BLOCK_BYTES = 16_000_000
-#: Classes, and leaves of each; one more class is for words seen once or never.
-CLASSES = 15
+#: Leaves of a class, and classes; one more class is for words seen once or never, so that both
+#: tables of weights have rows of the same width.
 LEAVES = 16
+CLASSES = LEAVES - 1
 RARE = CLASSES
 #: Rows of the two hashed tables of weights: the model's size, which no input changes.
 CLASS_ROWS = 1 << 17
@@ -268,7 +269,7 @@ class Learner:
                 self._step(1, features, gradient)
 
 
-WIDTH = max(CLASSES + 1, LEAVES)
+WIDTH = LEAVES
 WEIGHTS = ", ".join(["row int", "seen long", *[f"w{i} double" for i in range(WIDTH)]])
 
 
@@ -281,13 +282,12 @@ def _trainer(shares: Shares, by_class: np.ndarray, by_leaf: np.ndarray, past: np
             for row in batch.itertuples(index=False):
                 learner.learn(Tokens(row))
         for table, (weights, first) in enumerate(((learner.model.by_class, 0), (learner.model.by_leaf, CLASS_ROWS))):
-            seen = learner.seen[table]
-            rows = np.flatnonzero(seen)
-            if not len(rows):
-                continue
-            values = weights[rows].astype(np.float64) * seen[rows, None]
-            values = np.pad(values, ((0, 0), (0, WIDTH - values.shape[1])))
-            yield pd.DataFrame({"row": rows + first, "seen": seen[rows], **{f"w{i}": values[:, i] for i in range(WIDTH)}})
+            changed = np.flatnonzero(learner.seen[table])
+            for begin in range(0, len(changed), BATCH):
+                rows = changed[begin : begin + BATCH]
+                seen = learner.seen[table][rows]
+                values = weights[rows] * seen[:, None].astype(np.float64)
+                yield pd.DataFrame({"row": rows + first, "seen": seen, **{f"w{i}": values[:, i] for i in range(WIDTH)}})
 
     return run
 
