@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duolex.llm.common import documents, query, ranged
-from duolex.session import materialize, scratch_path
+from duolex.session import materialize
 
 #: Words are terms by a hash of so many bits, so that the lexicon is a bitmap of fixed size.
 LEXICON_BITS = 20
@@ -89,24 +89,33 @@ def unpacked(name: str) -> Column:
     return F.when(F.octet_length(name) == size, F.lower(F.hex(name))).otherwise(F.col(name).cast("string"))
 
 
-def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Adds the share of lexicon subsets with equal hashes, of those in which either text has a term."""
+def likeness(a: str, b: str) -> Column:
+    """The share of lexicon subsets with equal hashes, of those in which either text has a term.
 
-    def pairs(number: int) -> Column:
+    Each step binds what it reads, so that nothing is worked out twice.
+    """
+
+    def bound(value: Column, step) -> Column:
+        return F.transform(F.array(value), step)[0]
+
+    def pairs(both: Column, number: int) -> Column:
         at = F.sequence(F.lit(number * SUBSETS * DIGITS + 1), F.lit((number + 1) * SUBSETS * DIGITS), F.lit(DIGITS))
         return F.filter(
-            F.transform(at, lambda i: F.struct(F.col(a).substr(i, F.lit(DIGITS)).alias("a"), F.col(b).substr(i, F.lit(DIGITS)).alias("b"))),
+            F.transform(at, lambda i: F.struct(both["a"].substr(i, F.lit(DIGITS)).alias("a"), both["b"].substr(i, F.lit(DIGITS)).alias("b"))),
             lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY),
         )
 
-    rows = rows.withColumn("_levels", F.array(*[pairs(i) for i in range(LEVELS)]))
-    enough = F.filter("_levels", lambda held: F.size(held) >= READ_FROM)
-    read = F.coalesce(F.try_element_at(enough, F.lit(-1)), F.get("_levels", F.lit(0)))
-    rows = rows.withColumn("_read", read)
-    same = F.size(F.filter("_read", lambda p: p["a"] == p["b"])) / F.greatest(F.size("_read"), F.lit(1))
-    apart = F.col(a).startswith("#") | F.col(b).startswith("#")
-    like = F.when(F.col(a) == F.col(b), 1.0).when(apart, 0.0).otherwise(same)
-    return rows.withColumn(name, like).drop("_levels", "_read")
+    def read(levels: Column) -> Column:
+        enough = F.filter(levels, lambda held: F.size(held) >= READ_FROM)
+        return F.coalesce(F.try_element_at(enough, F.lit(-1)), F.get(levels, F.lit(0)))
+
+    def like(both: Column) -> Column:
+        levels = bound(F.array(*[pairs(both, i) for i in range(LEVELS)]), read)
+        same = bound(levels, lambda held: F.size(F.filter(held, lambda p: p["a"] == p["b"])) / F.greatest(F.size(held), F.lit(1)))
+        apart = both["a"].startswith("#") | both["b"].startswith("#")
+        return F.when(both["a"] == both["b"], 1.0).when(apart, 0.0).otherwise(same)
+
+    return bound(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), like)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -137,7 +146,7 @@ def compared(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     one document is its own next; other columns are not read.
     """
     rows = docs.select(F.col(key).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    rows = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
     bitmap = lexicon(rows)
     order = materialize(neighbours(rows), "neighbours")
     # Each text's own fingerprint is made once and moves with it; both joins read the same shuffle.
@@ -164,9 +173,5 @@ def compared(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def op7_imatch(spark, sf_dir):
     rows = compared(documents(spark, sf_dir))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
-    # The hashes are costly and read several times below: computed once, and stored well packed.
-    path = scratch_path(spark, "fingerprints")
-    rows.write.option("compression", "zstd").parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
-    rows = with_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
-    return with_likeness(rows, "fingerprint", "next_print", "near_next").drop("next_print")
+    near = {"near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "next_print")}
+    return rows.withColumns(near).drop("next_print")
