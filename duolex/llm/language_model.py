@@ -12,11 +12,12 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duolex.llm.common import documents, query
@@ -313,6 +314,18 @@ def _scorer(shares: Shares, by_class: np.ndarray, by_leaf: np.ndarray):
     return run
 
 
+@contextmanager
+def a_block_a_batch(spark: SparkSession):
+    """Within, tasks hand Python one row at a time: a block is a row, and many at once would be too much for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _tallies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per block and leaf (rare words apart as -1): tokens, words, and words seen once and twice."""
     for batch in batches:
@@ -347,7 +360,8 @@ def coded_blocks(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Share
     tallied = blocks.select("leaves", "at", "known").mapInPandas(_tallies, "leaf int, tokens long, distinct long, once long, twice long")
     tallied = tallied.groupBy("leaf").agg(*[F.sum(c).alias(c) for c in ("tokens", "distinct", "once", "twice")])
     # A row for each leaf.
-    by_leaf = {r.leaf: r for r in tallied.collect()}
+    with a_block_a_batch(docs.sparkSession):
+        by_leaf = {r.leaf: r for r in tallied.collect()}
     sums = [sum(r[c] for r in by_leaf.values()) for c in ("tokens", "distinct", "once", "twice")]
     return blocks, Shares(*sums, {leaf: r.tokens for leaf, r in by_leaf.items() if leaf >= 0})
 
@@ -368,7 +382,9 @@ def train(blocks: DataFrame, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
         changed = part.mapInPandas(_trainer(shares, by_class, by_leaf, past), WEIGHTS)
         summed = changed.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(WIDTH)])
         # As many rows as the tables have, at most; by Arrow, as they would be many objects one by one.
-        new = materialize(summed, "weights").toArrow()
+        with a_block_a_batch(blocks.sparkSession):
+            summed = materialize(summed, "weights")
+        new = summed.toArrow()
         rows, seen = (np.asarray(new[c]) for c in ("row", "seen"))
         mean = np.empty((len(rows), WIDTH), np.float32)
         for i in range(WIDTH):
@@ -395,6 +411,8 @@ def language_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         _scorer(shares, by_class, by_leaf),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+    with a_block_a_batch(docs.sparkSession):
+        scored = materialize(scored, "scores")
     return scored.withColumnRenamed("doc_id", key)
 
 
