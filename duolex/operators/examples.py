@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duolex.functions.text import make_prompt, word_array
-from duolex.operators.indexing import position_by_hash
+from duolex.operators.indexing import position_by_hash, rows_above
 from duolex.operators.joins import lookup_join
 from duolex.session import materialize
 
@@ -21,18 +21,15 @@ MAX_LEN = 128
 def vocabulary(dictionary: DataFrame) -> DataFrame:
     """(term, count, id): ids by falling count over all languages, equal counts by hash.
 
-    The number of distinct counts grows with the square root of the corpus at most, so it is
-    summed in order; the many terms of one count are placed by hash bucket. The result is
-    stored, since every use of it is a lookup that reads it more than once.
+    The terms of higher counts are summed up in two steps; the many terms of one count are placed
+    by hash bucket. The result is stored, since every use of it is a lookup that reads it more
+    than once.
     """
     terms = dictionary.groupBy("term").agg(F.sum("count").alias("count"))
     terms = materialize(terms, "terms").withColumn("_h", F.md5(F.col("term").cast("binary")))
     placed = position_by_hash(terms, "_h", groups=["count"], name="_at")
-    ahead = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = terms.groupBy("count").agg(F.count(F.lit(1)).alias("_n"))
-    levels = levels.select("count", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    ids = (F.col("_base") + F.col("_at") + FIRST_ID).cast("int")
-    return materialize(placed.join(levels, "count").select("term", "count", ids.alias("id")), "vocabulary")
+    ids = (F.col("rows") + F.col("_at") + FIRST_ID).cast("int")
+    return materialize(placed.join(rows_above(terms, "count"), "count").select("term", "count", ids.alias("id")), "vocabulary")
 
 
 def _padded(ids: Column, max_len: int, filler: int) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ from duolex.operators.joins import join_null_safe
 # An id bucket spans this many bits, so it holds at most 1,024 rows with distinct ids, and a
 # coarse bucket at most 65,536 of them.
 ID_BITS, COARSE_BITS = 10, 16
+# A range of ids holds about so many rows; beyond so many ranges they grow. Ranges of a coarse one.
+RANGE_ROWS, RANGES, COARSE_RANGES = 1024, 10_000, 100
+# Counts that agree in so many leading bits are summed up together first.
+LEADING_BITS = 10
 # A hash bucket is named by this many hex digits: a million buckets per group.
 HASH_DIGITS = 5
 COARSE_DIGITS = 2
@@ -69,6 +74,48 @@ def position_by_id(df: DataFrame, id_col: str, groups: Sequence[str] = (), name:
     return _number(df, groups, fine, lambda f: F.shiftright(f, COARSE_BITS), [id_col], name)
 
 
+def range_bounds(df: DataFrame, id_col: str) -> list[float]:
+    """Ids that cut the rows into ranges of like size, each between half and twice the mean."""
+    value = df.select(F.col(id_col).cast("double").alias("_value")).filter("_value IS NOT NULL")
+    ranges = min(value.count() // RANGE_ROWS, RANGES)
+    if ranges < 2:
+        return []
+    shares = [i / ranges for i in range(1, ranges)]
+    return sorted(set(value.approxQuantile("_value", shares, 1 / (4 * ranges))))
+
+
+def position_by_range(df: DataFrame, id_col: str, groups: Sequence[str] = (), name: str = "row_index") -> DataFrame:
+    """As `position_by_id`, for ids that lie far apart or in clusters.
+
+    Buckets of bits would hold a row each there, and their counts would be as many as the rows.
+    Here the bounds of the buckets are quantiles of the ids, drawn once, so that a retry finds the
+    same ones. Ids are told apart as doubles, which keep the order of integers; a null id comes
+    first. `df` is read twice more, for its ids only, and had better be stored.
+    """
+    bounds = range_bounds(df, id_col)
+    if bounds:
+        splits = [float("-inf"), *bounds, float("inf")]
+        cut = Bucketizer(splits=splits, inputCol="_value", outputCol="_range", handleInvalid="keep")
+        placed = cut.transform(df.withColumn("_value", F.col(id_col).cast("double"))).drop("_value")
+    else:
+        placed = df.withColumn("_range", F.lit(0.0))
+    fine = F.when(F.col(id_col).isNull(), -1).otherwise(F.col("_range")).cast("long")
+    return _number(placed, groups, fine, lambda f: F.floor(f / COARSE_RANGES), [id_col], name).drop("_range")
+
+
+def rows_above(df: DataFrame, count_col: str) -> DataFrame:
+    """(count, rows): for every count, a positive integer, the rows with a higher one.
+
+    Counts with equal leading bits are summed up together first: at most some 30,000 sums are put
+    in order at once, however many counts there are.
+    """
+    bits = "length(bin(-_fine))"
+    leading = F.expr(f"-({bits} * {1 << LEADING_BITS} + shiftright(-_fine, greatest({bits} - {LEADING_BITS}, 0)))")
+    counts = df.select(F.lit(0).alias("_all"), (-F.col(count_col)).alias("_below"))
+    offsets = _offsets(counts, ["_all"], F.col("_below"), lambda _: leading)
+    return offsets.select((-F.col("_fine")).alias(count_col), F.col("_before").alias("rows"))
+
+
 def position_by_hash(
     df: DataFrame,
     hash_col: str,

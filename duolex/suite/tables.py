@@ -69,6 +69,18 @@ def _numbered(spark, d):
     return ix.position_by_id(docs, "doc_id", ["dataset"])
 
 
+@query(
+    "sparse_positions",
+    """SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
+        ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) - 1 AS row_index FROM documents""",
+)
+def sparse_positions(spark, d):
+    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    far = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    docs = b.documents(spark, d).select("doc_id", "lang", far.alias("far_id"))
+    return ix.position_by_range(docs, "far_id", ["lang"]).drop("far_id")
+
+
 @query(
     "slice_rows",
     f"WITH {NUMBERED} SELECT dataset, doc_id, row_index FROM numbered WHERE row_index >= 5 AND row_index < 5 + 30",

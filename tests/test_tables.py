@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,38 @@ def test_positions_by_id(spark, parts):
     assert [whole[i] for i in sorted(ids)] == list(range(len(ids)))
 
 
+def test_ranges_of_far_ids_are_of_like_size(spark):
+    # A million random 64-bit ids.
+    df = spark.range(1_000_000).select(F.xxhash64("id").alias("far"))
+    got = ix.position_by_range(df, "far").toPandas().sort_values("far")
+    assert (got["row_index"].to_numpy() == range(1_000_000)).all()
+    bounds = ix.range_bounds(df, "far")
+    sizes = np.bincount(np.searchsorted(bounds, got["far"].to_numpy(dtype=float), side="right"))
+    assert len(sizes) == 1_000_000 // ix.RANGE_ROWS and sizes.max() < 2 * sizes.mean()
+
+
+def test_ranges_of_clustered_ids(spark):
+    # Neighbours beyond 2^53, where doubles no longer tell them apart, far outliers, a null and groups.
+    ids = [*range(2**62, 2**62 + 5000), *range(-3000, 0), -(2**63), 2**63 - 1, None]
+    rows = [(i, None if n % 3 == 0 else "g") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id long, g string").repartition(5)
+    got = {r.id: r.row_index for r in ix.position_by_range(df, "id", ["g"]).collect()}
+    for group in (None, "g"):
+        mine = sorted((i for i, g in rows if g == group), key=lambda i: (i is not None, i or 0))
+        assert [got[i] for i in mine] == list(range(len(mine)))
+    assert ix.position_by_range(df.limit(0), "id").count() == 0
+    assert ix.position_by_range(df.limit(3), "id").count() == 3
+
+
+def test_rows_above_a_count(spark):
+    rng = random.Random(4)
+    counts = [rng.choice([1, 2, 3, rng.randint(1, 5000), rng.randint(1, 2**50)]) for _ in range(3000)]
+    df = spark.createDataFrame([(c,) for c in counts], "count long")
+    got = {r["count"]: r["rows"] for r in ix.rows_above(df, "count").collect()}
+    ordered = np.sort(counts)
+    assert got == {c: int((ordered > c).sum()) for c in set(counts)}
+
+
 def test_shuffle_is_a_repeatable_permutation(spark):
     df = spark.range(5000)
     first = [r.id for r in od.shuffle(df.repartition(3), ["id"], 7, 5).collect()]
