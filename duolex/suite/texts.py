@@ -219,7 +219,7 @@ def tag_languages(spark, d):
         SELECT dataset, row_index, target, source, target_lang, source_lang, 1 FROM pairs""",
 )
 def mirror(spark, d):
-    return fl.mirror(b.pairs(spark, d).drop("ordinal"))
+    return fl.mirror(b.pairs_once(spark, d).drop("ordinal"))
 
 
 @query(
@@ -228,7 +228,7 @@ def mirror(spark, d):
         'translate ' || source_lang || ' to ' || target_lang || ': ' || source AS prompt FROM pairs""",
 )
 def make_prompt(spark, d):
-    return b.pairs(spark, d).select("dataset", "row_index", tx.make_prompt("source_lang", "target_lang", "source").alias("prompt"))
+    return b.pairs_once(spark, d).select("dataset", "row_index", tx.make_prompt("source_lang", "target_lang", "source").alias("prompt"))
 
 
 @query(

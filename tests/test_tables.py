@@ -288,3 +288,43 @@ def test_settled_rows_are_not_shuffled(spark, tmp_path, hot_rows, heavy):
     assert joined().filter("v = 1 AND key = 'hot'").count() == df.filter("key = 'hot'").count()
     written = shuffled_records(spark, lambda: joined().write.format("noop").mode("overwrite").save())
     assert written < 8_000
+
+
+def exchanged(df, column):
+    """How often the plan moves a column between tasks."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    moved = [part for part in plan.split("\n\n") if "Exchange\n" in part and "Broadcast" not in part.split("\n")[0]]
+    return sum(f"{column}#" in next(line for line in part.split("\n") if line.startswith("Input")) for part in moved)
+
+
+def test_numbering_moves_a_row_once(spark):
+    df = spark.range(3000).select(F.when(F.col("id") != 7, F.col("id")).alias("id"), (F.col("id") % 3).alias("g"), F.lit("x").alias("payload"))
+    df = df.withColumn("payload", F.concat("payload", "g"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        placed = ix.position_by_id(df, "id", ["g"])
+        assert exchanged(placed, "payload") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r.g, r.row_index) for r in placed.collect()) == [(g, i) for g in range(3) for i in range(1000)]
+    assert {r.row_index for r in placed.filter("id is null").collect()} == {0}
+
+
+def test_prepared_pairs_move_once_after_the_split(spark):
+    rows = [("d", i, f"w{i}", f"v{i}", "en", "de") for i in range(400)] * 2
+    pairs = spark.createDataFrame(rows, "dataset string, row_index long, source string, target string, source_lang string, target_lang string")
+    prepared = corpus.prepare_pairs(pairs, partitions=5)
+    assert exchanged(prepared, "source") == 1
+    got = [(r.dataset, r.row_index, r.direction, r.position) for r in prepared.collect()]
+    assert [g[3] for g in got] == list(range(1600))
+    keys = ["dataset", "row_index", "direction"]
+    expected = od.shuffle_positions(prepared.drop("position"), keys).collect()
+    assert sorted(got) == sorted((r.dataset, r.row_index, r.direction, r.position) for r in expected)
+
+
+def test_pairs_are_normalized_once(spark):
+    pairs = spark.range(10).select(F.concat(F.lit("a<b>  "), "id").alias("source"), F.lit("caf\u0301e").alias("target"))
+    plan = fl.normalize_pairs(pairs)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, plan.collect())) == [(f"a {i}", "caf\u0301e") for i in range(10)]
