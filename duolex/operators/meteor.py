@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from duolex.functions.text import SPACE, WORD
 
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
+# So many times the usual partitions.
+FINER = 4
 TOKEN = f"[{WORD}]+|[^{WORD}{SPACE}]"
 
 
@@ -36,9 +38,11 @@ def meteor_row(
     are taken apart; every later grouping and window is by key or finer and stays in place.
     """
     carry = list(carry)
-    texts = df.select(
-        key, *carry, meteor_tokens(prediction).alias("_p"), meteor_tokens(reference).alias("_r")
-    ).repartition(F.col(key))
+    # Texts are far smaller than their tokens, so partitions are not joined by their size in the
+    # shuffle, and are smaller than usual, for their tokens to be sorted in memory.
+    partitions = FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = df.select(key, *carry, F.col(prediction).alias("_p"), F.col(reference).alias("_r")).repartition(partitions, key)
+    texts = texts.select(key, *carry, meteor_tokens("_p").alias("_p"), meteor_tokens("_r").alias("_r"))
     sides = F.array(
         F.struct(F.lit(0).alias("_side"), F.col("_p").alias("_tokens")),
         F.struct(F.lit(1).alias("_side"), F.col("_r").alias("_tokens")),
