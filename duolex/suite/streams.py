@@ -90,11 +90,14 @@ def translated(spark, d):
     return hs.load_history(spark, path).drop("seq")
 
 
-def _split_files(frame, spark, order, n=4):
-    """The table as several files, so that a stream of it takes several batches."""
+def _split_files(frame, spark, order, each=None):
+    """The table as a stream of several batches, of several files each: as many in all as a shuffle
+    has partitions, and a batch no fewer than there are cores, so that no task has a batch alone."""
     path = scratch_path(spark, "files")
-    frame.repartitionByRange(n, order).write.parquet(path)
-    return path
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = each or max(spark.sparkContext.defaultParallelism, -(-partitions // SLICES))
+    frame.repartitionByRange(SLICES * each, order).write.parquet(path)
+    return _stream(spark, path, frame.schema, each)
 
 
 @query(
@@ -106,9 +109,8 @@ def _split_files(frame, spark, order, n=4):
 )
 def history_sink(spark, d):
     turns = table(spark, d, "conversations")
-    path = _split_files(turns, spark, "conv_id")
     second = F.col("conv_id") * 100 + F.col("turn")
-    live = _stream(spark, path, turns.schema, 1).select(
+    live = _split_files(turns, spark, "conv_id", 1).select(
         F.col("text").alias("source"), F.concat(F.lit("to "), "text").alias("target"), F.lit("en").alias("source_lang"),
         F.col("role").alias("target_lang"), second.alias("seq"),
         (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))).alias("ts"),
@@ -121,8 +123,8 @@ def history_sink(spark, d):
 @query("incremental_frequency", f"WITH {DICTIONARY} SELECT iso, term, count FROM dictionary")
 def incremental_frequency(spark, d):
     docs = b.documents(spark, d)
-    path, store = _split_files(docs, spark, "doc_id"), scratch_path(spark, "counts")
-    live = _stream(spark, path, docs.schema, 1).select(F.col("lang").alias("iso"), "text")
+    store = scratch_path(spark, "counts")
+    live = _split_files(docs, spark, "doc_id").select(F.col("lang").alias("iso"), "text")
     drain(live, sf.frequency_sink(store))
     return sf.accumulated_frequency(spark, store)
 
@@ -130,8 +132,8 @@ def incremental_frequency(spark, d):
 @query("stream_normalize", f"SELECT doc_id, text FROM (SELECT doc_id, {b.sql_normalize('text')} AS text FROM documents) WHERE length(text) > 0")
 def stream_normalize(spark, d):
     docs = b.documents(spark, d)
-    path, output = _split_files(docs, spark, "doc_id"), scratch_path(spark, "normal")
-    live = _stream(spark, path, docs.schema, 1).select("doc_id", tx.normalize_text("text").alias("text"))
+    output = scratch_path(spark, "normal")
+    live = _split_files(docs, spark, "doc_id").select("doc_id", tx.normalize_text("text").alias("text"))
     clean = drop_empty(live, "text", "text")
     drain(clean, output=output)
     return spark.read.schema(clean.schema).parquet(output)

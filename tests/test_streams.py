@@ -135,3 +135,15 @@ def test_batches_in_any_order_within_the_watermark(spark):
     live = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
     drain(db.debounce_stream(live, "key", "ts", "value", "seq", 2, watermark_seconds=20), output=output)
     assert shown(spark.read.parquet(output)) == shown(db.debounce(batch, "key", "ts", "value", "seq", 2))
+
+
+def test_a_batch_of_a_split_table_is_many_files(spark, monkeypatch):
+    from duolex.suite import streams
+
+    made = []
+    monkeypatch.setattr(streams, "_stream", lambda spark, path, schema, per_batch=None: made.append((path, per_batch)))
+    streams._split_files(spark.range(5000).selectExpr("id", "cast(id AS string) AS text"), spark, "id")
+    (path, each), = made
+    files = spark.read.parquet(path).inputFiles()
+    assert each > 1 and len(files) > each * (streams.SLICES - 1)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(5000))
