@@ -205,3 +205,23 @@ def test_misread_runs_are_repaired(spark):
     frame = spark.createDataFrame([(i, given) for i, (given, _) in enumerate(RUNS)], "id int, text string")
     got = {r.id: r.text for r in frame.select("id", fix_text(F.col("text")).alias("text")).collect()}
     assert got == {i: wanted for i, (_, wanted) in enumerate(RUNS)}
+
+
+def test_composition_keeps_batches_in_utf8():
+    import pyarrow as pa
+
+    from duolex.functions.repair import _compose
+
+    texts = [None, "", "e\u0301 \U0001f600", "&eacute;"] * 50
+    got = _compose.func(pa.array(texts, pa.string()), pa.array([i % 8 > 3 for i in range(200)]))
+    assert isinstance(got, pa.Array)
+    assert got.to_pylist() == [None, "", "\u00e9 \U0001f600", "&eacute;", None, "", "\u00e9 \U0001f600", "\u00e9"] * 25
+
+
+def test_scoring_moves_texts_to_partitions_that_stay(spark):
+    from duolex.operators.meteor import meteor_row
+
+    rows = spark.createDataFrame([("a", "x y", "x y"), ("b", None, "z")], "row_id string, prediction string, reference string")
+    plan = meteor_row(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+    assert {r.row_id: r.matches for r in meteor_row(rows).collect()} == {"a": 2, "b": 0}
