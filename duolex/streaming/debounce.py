@@ -16,6 +16,8 @@ from duolex.operators.joins import join_null_safe
 GAP_SECONDS = 1
 # A time bucket spans this many gaps, so a busy key becomes many small windows.
 BUCKET_GAPS = 4096
+# A stream's keys share so many rows of state. A running stream's checkpoint depends on it.
+KEY_GROUPS = 1024
 
 
 def _silent(value: str, empty: str):
@@ -39,27 +41,43 @@ def settle(pending: list, gap: int, passed: int) -> tuple[list, list]:
     return fires, stays
 
 
-def _timers(key: str, value: str, gap: int, empty: str):
-    """Keeps each key's open events, with one timer for the first that may fire; a key's row lists what fires."""
+def _plain(cell):
+    """Null for what pandas puts in a column in its place."""
+    return None if cell is None or cell != cell else cell
+
+
+def _timers(value: str, gap: int, empty: str):
+    """Keeps the open events of each of a group's keys, with one timer for the first that may fire;
+    a row for each key lists what fires."""
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = json.loads(state.get[0]) if state.exists else []
+        pending = dict(json.loads(state.get[0])) if state.exists else {}
         for batch in batches:
-            rows = batch.astype(object).where(batch.notna(), None)
-            pending += zip(map(int, rows["_at"]), rows["_order"], rows[value])
+            # Plain lists: frames of a few rows for each key cost far more than those rows.
+            columns = [batch[c].tolist() for c in ("_key", "_at", "_order", value)]
+            for k, at, order, told in zip(*columns):
+                pending.setdefault(_plain(k), []).append((int(at), _plain(order), _plain(told)))
         # Before the first watermark nothing has passed.
         passed = max(state.getCurrentWatermarkMs(), 0) * 1000
-        fires, stays = settle(pending, gap, passed)
-        if stays:
-            state.update((json.dumps(stays),))
+        open_events, due, fired = [], [], {"_key": [], "_fired": []}
+        for k, events in pending.items():
+            fires, stays = settle(events, gap, passed)
+            if stays:
+                open_events.append((k, stays))
+                due += [-(-(e[0] + gap) // 1000) for e in settle(stays, gap, 1 << 62)[0]]
+            told = [{"_at": e[0], value: e[2]} for e in fires if e[2] is not None and e[2] != empty]
+            if told:
+                fired["_key"].append(k)
+                fired["_fired"].append(told)
+        if open_events:
+            state.update((json.dumps(open_events),))
             # The earliest time at which one of them has seen its quiet; a later event of the key
             # moves it, an empty one leaves nothing to fire at it.
-            state.setTimeoutTimestamp(min(-(-(e[0] + gap) // 1000) for e in settle(stays, gap, 1 << 62)[0]))
+            state.setTimeoutTimestamp(min(due))
         elif state.exists:
             state.remove()
-        told = [e for e in fires if e[2] is not None and e[2] != empty]
-        if told:
-            yield pd.DataFrame({key: [group[0]], "_fired": [[{"_at": e[0], value: e[2]} for e in told]]})
+        if fired["_key"]:
+            yield pd.DataFrame(fired, dtype=object)
 
     return run
 
@@ -76,20 +94,26 @@ def debounce_stream(
 ) -> DataFrame:
     """(key, fired_at, value) over a stream of (key, ts TIMESTAMP, value, order).
 
-    Each key has its open events as state, carried from batch to batch, and a timer on event time
-    that every new event sets anew; an empty value cancels what was waiting. `order` breaks equal
-    times. Events later than the watermark are dropped. The watermark is never shorter than the gap.
+    Each key has its open events as state, carried from batch to batch, and a time at which they
+    fire that every new event sets anew; an empty value cancels what was waiting. Keys of equal hash
+    share a row of state and its timer, as a call costs far more than the events of a key. `order`
+    breaks equal times. Events later than the watermark are dropped. The watermark is never shorter than the gap.
     """
     delay = max(gap_seconds, watermark_seconds or 0)
     gap = gap_seconds * 1_000_000
     typed = events.withWatermark(ts, f"{delay} seconds").filter(F.col(ts).isNotNull())
-    typed = typed.select(key, ts, F.unix_micros(ts).alias("_at"), F.col(order).alias("_order"), value)
+    held = typed.schema[key].dataType
+    # As text a key is itself again, whatever the other keys of its group: a null makes no number a fraction.
+    text = F.hex(key) if isinstance(held, T.BinaryType) else F.col(key).cast("string")
+    typed = typed.select(text.alias("_key"), ts, F.unix_micros(ts).alias("_at"), F.col(order).alias("_order"), value)
+    typed = typed.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(KEY_GROUPS)))
     fires = T.ArrayType(T.StructType([T.StructField("_at", T.LongType()), typed.schema[value]]))
-    out = T.StructType([typed.schema[key], T.StructField("_fired", fires)])
-    fired = typed.groupBy(key).applyInPandasWithState(
-        _timers(key, value, gap, empty), out, "pending string", "append", GroupStateTimeout.EventTimeTimeout
+    out = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_fired", fires)])
+    fired = typed.groupBy("_group").applyInPandasWithState(
+        _timers(value, gap, empty), out, "pending string", "append", GroupStateTimeout.EventTimeTimeout
     )
-    each = fired.select(key, F.inline("_fired"))
+    again = F.unhex("_key") if isinstance(held, T.BinaryType) else F.col("_key").cast(held)
+    each = fired.select(again.alias(key), F.inline("_fired"))
     return each.select(key, F.timestamp_micros(F.col("_at") + gap).alias("fired_at"), value)
 
 

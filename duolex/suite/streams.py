@@ -41,7 +41,7 @@ def debounce(spark, d):
     return _shown(db.debounce(table(spark, d, "events"), "user_id", "ts", "event_type", "event_id", GAP, empty="error"))
 
 
-# The events come in so many batches of time, each of so many files.
+# The events come in so many batches of time, each of so many files or as many as there are cores.
 SLICES, FILES = 4, 4
 
 
@@ -50,11 +50,12 @@ def _keystrokes(spark, d):
     to the next; the last is one far later event that closes everything."""
     events = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     path = scratch_path(spark, "typed")
+    files = max(FILES, spark.sparkContext.defaultParallelism)
     at = F.unix_micros("ts")
     first, last = events.agg(F.min(at), F.max(at)).first()
     part = F.floor((at - first) * SLICES / (last - first + 1))
     for i in range(SLICES):
-        events.filter(part == i).repartition(FILES).write.mode("append").parquet(path)
+        events.filter(part == i).repartition(files).write.mode("append").parquet(path)
     later = F.max("ts") + F.make_dt_interval(days=F.lit(2))
     events.agg(
         F.lit(-1).cast("long").alias("event_id"),
@@ -62,7 +63,7 @@ def _keystrokes(spark, d):
         later.alias("ts"),
         F.lit("view").alias("event_type"),
     ).write.mode("append").parquet(path)
-    return _stream(spark, path, events.schema, FILES)
+    return _stream(spark, path, events.schema, files)
 
 
 @query("debounce_stream", FIRED_TEXT)

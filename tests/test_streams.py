@@ -147,3 +147,40 @@ def test_a_batch_of_a_split_table_is_many_files(spark, monkeypatch):
     files = spark.read.parquet(path).inputFiles()
     assert each > 1 and len(files) > each * (streams.SLICES - 1)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(5000))
+
+
+def test_keys_share_calls_and_stay_themselves(spark, monkeypatch):
+    """Two calls' worth of state for many keys, among them a null and such as no double holds."""
+    monkeypatch.setattr(db, "KEY_GROUPS", 2)
+    first = 2**53
+    rows = [(None if i == 7 else first + i, START + dt.timedelta(seconds=i % 3), "x", i) for i in range(40)]
+    far = [(-1, START + dt.timedelta(days=1), "z", 99)]
+    path, output = scratch_path(spark, "in"), scratch_path(spark, "out")
+    batches = [spark.createDataFrame(r, "key long, ts timestamp, value string, seq long") for r in (rows[:20], rows[20:], far)]
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(path)
+    live = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    fired = db.debounce_stream(live, "key", "ts", "value", "seq", 2)
+    assert fired.schema["key"].dataType == batches[0].schema["key"].dataType
+    drain(fired, output=output)
+    got = {(r.key, r.fired_at) for r in spark.read.parquet(output).collect()}
+    assert got == {(k, at + dt.timedelta(seconds=2)) for k, at, _, _ in rows}
+
+
+def test_a_call_settles_many_keys():
+    class State:
+        exists, timer = False, None
+        getCurrentWatermarkMs = lambda self: 0
+
+        def update(self, value):
+            self.held = value
+
+        def setTimeoutTimestamp(self, at):
+            self.timer = at
+
+    import pandas as pd
+
+    state = State()
+    batch = pd.DataFrame({"_key": ["a", "b", None], "_at": [1_000_000, 0, 5], "_order": [1.0, float("nan"), 3.0], "v": ["x", None, "y"]})
+    assert list(db._timers("v", 1_000_000, "")((0,), iter([batch]), state)) == []
+    assert state.timer == 1000 and len(__import__("json").loads(state.held[0])) == 3
