@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from duolex.operators.joins import join_null_safe
 
-# An id bucket spans this many bits, so it holds at most 1,024 rows with distinct ids, and a
+# An id bucket spans this many bits, so it holds at most 256 rows with distinct ids, and a
 # coarse bucket at most 65,536 of them.
-ID_BITS, COARSE_BITS = 10, 16
+ID_BITS, COARSE_BITS = 8, 16
 # A range of ids holds about so many rows; beyond so many ranges they grow. Ranges of a coarse one.
 RANGE_ROWS, RANGES, COARSE_RANGES = 1024, 10_000, 100
 # Counts that agree in so many leading bits are summed up together first.

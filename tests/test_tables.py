@@ -328,3 +328,35 @@ def test_pairs_are_normalized_once(spark):
     plan = fl.normalize_pairs(pairs)
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted(map(tuple, plan.collect())) == [(f"a {i}", "caf\u0301e") for i in range(10)]
+
+
+def test_pairs_across_blocks_and_odd_ids(spark, tmp_path, monkeypatch):
+    """Every row meets the next one, over gaps in the ids, blocks too large and rows without an id; texts move once."""
+    from duolex.suite import base
+
+    monkeypatch.setattr(base, "BLOCK_ROWS", 300)
+    ids = [*range(0, 700), *range(5000, 5003), 10**9, -4, *[2000] * 400, *[None] * 3]
+    rows = [(i, "en" if (i or 0) % 2 else "de", f"t{i}") for i in ids]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    made = base.pairs_once(spark, str(tmp_path))
+    got = sorted((r.row_index, r.source, r.target, r.source_lang, r.target_lang, r.dataset) for r in made.collect())
+    placed = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    following = [*placed[1:], placed[0]]
+    assert got == [(i, a[2], z[2], a[1], z[1], a[1]) for i, (a, z) in enumerate(zip(placed, following))]
+
+
+def test_stored_blocks_meet_without_a_shuffle(spark, tmp_path):
+    from duolex.suite import base
+
+    rows = [(i, "en", f"t{i}") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = base.pairs_once(spark, str(tmp_path))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # What is dealt anew are the few rows at the ends of blocks, which have a file of their own.
+    dealt = plan.split("Exchange")[1:]
+    assert all("ends-" in part.split("FileScan")[1].split("ReadSchema")[0] for part in dealt)
+    assert made.count() == 3000
