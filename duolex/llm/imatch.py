@@ -21,7 +21,7 @@ EMPTY = "0" * DIGITS
 
 def term_array(text: Column) -> Column:
     """Distinct hashed terms of the lower-cased runs of letters and digits."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND((1 << LEXICON_BITS) - 1).cast("int")))
 
 
@@ -46,15 +46,20 @@ def with_bits(shift: int, mask: int, value: int):
     return lambda draw: F.shiftrightunsigned(draw, shift).bitwiseAND(mask) == value
 
 
-def level_hashes(subset: str) -> Column:
-    """Hashes of the draws of one subset that stay at each level."""
+def up_to(level: int):
+    """A draw stays up to the level of its low zero bits."""
+    return with_bits(0, (1 << level) - 1, 0)
+
+
+def level_hashes(number: int) -> Column:
+    """Hashes of the draws of one subset that stay at each level, each level taken out of a sparser one before it."""
+    every, half, eighth = f"_subset{number}", f"_half{number}", f"_eighth{number}"
+    rest = [F.filter(eighth, up_to(level)) for level in range(4, LEVELS)]
+    left = F.array(F.col(every), F.col(half), F.filter(half, up_to(2)), F.col(eighth), *rest)
     most = F.lit(16**DIGITS - 1)
-    # A draw stays up to the level of its low zero bits.
-    masks = F.array(*[F.lit((1 << i) - 1).cast("long") for i in range(LEVELS)])
-    left = F.transform(masks, lambda mask: F.filter(subset, lambda draw: draw.bitwiseAND(mask) == 0))
-    return F.transform(
-        left, lambda p: F.when(F.size(p) == 0, EMPTY).otherwise(F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(p), most) + 1)), DIGITS, "0"))
-    )
+    # A leading digit more keeps the zeros.
+    digits = lambda p: F.hex(F.pmod(F.xxhash64(p), most) + 1 + 16**DIGITS).substr(2, DIGITS)
+    return F.transform(left, lambda p: F.when(F.size(p) == 0, EMPTY).otherwise(digits(p)))
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str, bitmap: Column) -> DataFrame:
@@ -71,11 +76,13 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, bitmap: Column) -> D
     # Subsets in two steps of a quarter each, then the levels of each: few looks at every draw.
     rows = rows.withColumns({f"_quarter{q}": F.filter("_draws", with_bits(34, 3, q)) for q in range(4)})
     rows = rows.withColumns({f"_subset{j}": F.filter(f"_quarter{j // 4}", with_bits(32, 3, j % 4)) for j in range(SUBSETS)})
-    rows = rows.withColumns({f"_hashes{j}": level_hashes(f"_subset{j}") for j in range(SUBSETS)})
+    rows = rows.withColumns({f"_half{j}": F.filter(f"_subset{j}", up_to(1)) for j in range(SUBSETS)})
+    rows = rows.withColumns({f"_eighth{j}": F.filter(f"_half{j}", up_to(3)) for j in range(SUBSETS)})
+    rows = rows.withColumns({f"_hashes{j}": level_hashes(j) for j in range(SUBSETS)})
     by_level = F.array(*[F.get(f"_hashes{j}", F.lit(i)) for i in range(LEVELS) for j in range(SUBSETS)])
     nothing = F.concat(F.lit("#"), F.sha2(F.col(text).cast("binary"), 256))
-    rows = rows.withColumn(name, F.when(F.size("_every") == 0, nothing).otherwise(F.array_join(by_level, "")))
-    steps = [f"{step}{j}" for step in ("_subset", "_hashes") for j in range(SUBSETS)]
+    rows = rows.withColumn(name, F.when(F.size("_every") == 0, nothing).otherwise(F.lower(F.array_join(by_level, ""))))
+    steps = [f"{step}{j}" for step in ("_subset", "_half", "_eighth", "_hashes") for j in range(SUBSETS)]
     return rows.drop("_every", "_known", "_draws", *steps, *[f"_quarter{q}" for q in range(4)])
 
 
@@ -98,11 +105,15 @@ def likeness(a: str, b: str) -> Column:
     def bound(value: Column, step) -> Column:
         return F.transform(F.array(value), step)[0]
 
+    # Bytes are reached by their place; in a string every letter before them would be passed.
+    width = DIGITS // 2
+    empty = F.unhex(F.lit(EMPTY))
+
     def pairs(both: Column, number: int) -> Column:
-        at = F.sequence(F.lit(number * SUBSETS * DIGITS + 1), F.lit((number + 1) * SUBSETS * DIGITS), F.lit(DIGITS))
+        at = F.sequence(F.lit(number * SUBSETS * width + 1), F.lit((number + 1) * SUBSETS * width), F.lit(width))
         return F.filter(
-            F.transform(at, lambda i: F.struct(both["a"].substr(i, F.lit(DIGITS)).alias("a"), both["b"].substr(i, F.lit(DIGITS)).alias("b"))),
-            lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY),
+            F.transform(at, lambda i: F.struct(both["x"].substr(i, F.lit(width)).alias("a"), both["y"].substr(i, F.lit(width)).alias("b"))),
+            lambda p: (p["a"] != empty) | (p["b"] != empty),
         )
 
     def read(levels: Column) -> Column:
@@ -115,7 +126,8 @@ def likeness(a: str, b: str) -> Column:
         apart = both["a"].startswith("#") | both["b"].startswith("#")
         return F.when(both["a"] == both["b"], 1.0).when(apart, 0.0).otherwise(same)
 
-    return bound(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), like)
+    # Digests of texts without terms are no hex numbers and have no bytes.
+    return bound(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.unhex(a).alias("x"), F.unhex(b).alias("y")), like)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

@@ -531,3 +531,27 @@ def test_query(spark, name):
 
 def test_thirteen_queries():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.QUERIES) == list(range(1, 14))
+
+
+def test_likeness_reads_fingerprints_as_bytes(spark):
+    """Cut out of strings, each of 320 hashes passed all letters before it."""
+    width = imatch.SUBSETS * imatch.DIGITS
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:200]), " ".join(words[290:]), "only this", "", "!!"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = imatch.compared(df).withColumn("near", imatch.likeness("fingerprint", "next_print"))
+    assert "unhex(fingerprint" in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def plain(a: str, b: str) -> float:
+        if a == b or "#" in a + b:
+            return float(a == b)
+        held = []
+        for level in range(imatch.LEVELS):
+            cut = [slice(i, i + imatch.DIGITS) for i in range(level * width, (level + 1) * width, imatch.DIGITS)]
+            held.append([a[c] == b[c] for c in cut if (a[c], b[c]) != (imatch.EMPTY, imatch.EMPTY)])
+        enough = [x for x in held if len(x) >= imatch.READ_FROM]
+        same = (enough or held[:1])[-1]
+        return sum(same) / max(len(same), 1)
+
+    for row in found.collect():
+        assert row["near"] == plain(row["fingerprint"], row["next_print"])
