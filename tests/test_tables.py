@@ -360,3 +360,22 @@ def test_stored_blocks_meet_without_a_shuffle(spark, tmp_path):
     dealt = plan.split("Exchange")[1:]
     assert all("ends-" in part.split("FileScan")[1].split("ReadSchema")[0] for part in dealt)
     assert made.count() == 3000
+
+
+def test_position_in_place(spark):
+    """Stored rows are numbered where they lie: before, every text was shuffled to be numbered."""
+    import random
+
+    ids = random.Random(3).sample(range(-3000, 3000), 900) + [1 << 40, (1 << 40) + 63, -(1 << 62), 63, 3063, 3127]
+    ids = sorted(set(ids))
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "id long, text string").repartition(3)
+    placed = ix.position_in_place(df, "id")
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    assert {r.id: r.row_index for r in placed.collect()} == {i: n for n, i in enumerate(ids)}
+    assert placed.schema == ix.position_by_id(df, "id").schema
+    for other in (ix.position_in_place(df, "id", words=5), ix.position_in_place(df.union(df.limit(1)), "id")):
+        assert sorted(r.row_index for r in other.collect()) == list(range(other.count()))
+    odd = ix.position_in_place(df.union(spark.createDataFrame([(None, "a"), (None, "b")], df.schema)), "id").collect()
+    assert {r.row_index for r in odd if r.id is None} == {0, 1} and len(odd) == len(ids) + 2
+    assert ix.position_in_place(df.filter("id > 1e18"), "id").count() == 0
