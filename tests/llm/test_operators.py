@@ -521,6 +521,55 @@ def test_windows_hold_neighbours_from_all_shards(spark):
     assert (subjects == 1).mean() > 0.5
 
 
+def test_drawn_texts_ask_all_terms_of_all_documents(spark, monkeypatch):
+    """Each document goes to the drawn text with the highest BM25 score for it, over partitions and slices of texts."""
+    random.seed(10)
+    ids = [np.asarray([random.randrange(10, 400) for _ in range(random.randrange(1, 80))] + [1], dtype="<u2").tobytes() for _ in range(300)]
+    rows = [(i, x, len(x) // 2) for i, x in enumerate(ids + ids[:20])]
+    tokens = spark.createDataFrame(rows, "doc_id long, ids binary, doc_tokens long").repartition(3)
+    weights, mean = packing.term_weights(tokens)
+    monkeypatch.setattr(packing, "ASKS", 10)
+    sent = packing.drawn_asks(tokens, 10)
+    asks = {int(n): np.frombuffer(t, dtype="<u2").tolist() for part in sent for n, t in zip(*part.value)}
+    assert len(sent) > 1 and 10 < len(asks) < 80
+    got = packing.nearest_asks(tokens, sent, spark.sparkContext.broadcast(weights), mean).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(320))
+    for r in got:
+        bag = Counter(np.frombuffer(r["ids"], dtype="<u2").tolist())
+        norm = packing.K1 * (1 - packing.B + packing.B * r["doc_tokens"] / mean)
+        score = {n: sum(weights[t] * bag[t] * (packing.K1 + 1) / (bag[t] + norm) for t in terms if t in bag) for n, terms in asks.items()}
+        assert np.isclose(r["score"], max(score.values()), rtol=1e-4) and np.isclose(score[r["name"]], r["score"], rtol=1e-4)
+
+
+def test_large_tables_are_packed_without_rounds(spark, monkeypatch):
+    """Every token once, in full windows or powers of two; subjects that are drawn keep together."""
+    random.seed(11)
+    monkeypatch.setattr(packing, "rounds", None)
+    size = lambda i: 700 if i % 97 == 0 else 0 if i % 50 == 0 else 63
+    ids = lambda i: np.asarray([10 + 20 * (i % 40) + random.randrange(20) for _ in range(size(i))] + [1], dtype="<u2").tobytes()
+    rows = [(i, ids(i)) for i in range(1200)]
+    rows += [(None, rows[7][1]), (5000, rows[97][1]), *[rows[3]] * 5]
+    tokens = spark.createDataFrame([(i, x, len(x) // 2) for i, x in rows], "doc_id long, ids binary, doc_tokens long").repartition(4)
+    got = packing.pack(tokens, window=256, whole_docs=1000, every=8).toPandas()
+    got = got.sort_values(["sequence_id", "offset"]).reset_index(drop=True)
+    sequences = got.groupby("sequence_id")
+    assert (sequences.length.cumsum() == got.offset + got.length).all()
+    sizes = sequences.length.sum()
+    assert all(n == 256 or n & (n - 1) == 0 for n in sizes) and (sizes != 256).sum() <= 8
+    assert all(zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) == c and len(x) == n for x, c, n in zip(got.ids, got.ids_crc32, got.length))
+    assert got.length.sum() == sum(len(x) // 2 for _, x in rows)
+    for i, x in rows:
+        part = got[got.doc_id.isna() if i is None else got.doc_id == i].sort_values("start")
+        if i == 3:
+            assert part[part.start == 0].shape[0] == 6 and part.length.sum() == 6 * len(x) // 2
+        else:
+            assert np.concatenate(part.ids.to_list()).tolist() == np.frombuffer(x, dtype="<u2").tolist()
+    subjects = got.assign(subject=got.doc_id % 40).groupby("sequence_id").subject.nunique()
+    assert (subjects <= 2).mean() > 0.6
+    bare = packing.pack(tokens, window=256, with_ids=False, whole_docs=1000, every=10**9).toPandas()
+    assert "ids" not in bare and bare.length.sum() == got.length.sum()
+
+
 # Queries
 
 
