@@ -15,6 +15,7 @@ import compare
 from duolex import llm
 from duolex.llm import bpe, hnsw, imatch, languages, minhash, packing, repeats, sharding, toxicity, urls
 from duolex.llm.components import components
+from duolex.session import materialize
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -521,6 +522,39 @@ def test_windows_hold_neighbours_from_all_shards(spark):
     assert (subjects == 1).mean() > 0.5
 
 
+def test_seeds_of_large_tables_ask_all_documents(spark, monkeypatch):
+    """However many documents there are, a window's best ones are those of the whole table."""
+    random.seed(12)
+    rows = [(i, [random.randrange(10, 3000) for _ in range(random.randrange(4, 20))] + [1]) for i in range(17_000)]
+    rows += [(None, rows[7][1]), (20_000, [random.randrange(10, 3000) for _ in range(500)] + [1]), *[rows[3]] * 5]
+    coded = [(i, np.asarray(x, dtype="<u2").tobytes(), len(x)) for i, x in rows]
+    tokens = materialize(spark.createDataFrame(coded, "doc_id long, ids binary, doc_tokens long").repartition(5), "tokens")
+    weights, mean = packing.term_weights(tokens)
+    asked, settled = [], packing.settled
+    monkeypatch.setattr(packing, "settled", lambda claims, rooms: asked.append((claims, rooms)) or settled(claims, rooms))
+    got = packing.pack(tokens, window=64).toPandas().sort_values(["sequence_id", "offset"])
+    placed = packing.placed_tokens(tokens, 5).toPandas()
+    bags = {b: Counter(np.frombuffer(x, dtype="<u2").tolist()) for b, x in zip(placed.base, placed.ids)}
+    claims, rooms = (x.toPandas() for x in asked[0])
+    assert len(rooms) > 1000
+    begin = np.sort(placed.base)
+    seeds = set(begin[np.searchsorted(begin, rooms.window, side="right") - 1])
+    free = [b for b in bags if b not in seeds]
+    for window, part in list(claims[claims.window.isin(list(bags))].groupby("window"))[:5]:
+        score = [
+            sum(weights[t] * bags[b][t] * (packing.K1 + 1) / (bags[b][t] + packing.K1 * (1 - packing.B + packing.B * bags[b].total() / mean)) for t in bags[window] if t in bags[b])
+            for b in free
+        ]
+        assert np.allclose(part.score.nlargest(3), sorted(score)[:-4:-1], rtol=1e-4)
+    sequences = got.groupby("sequence_id")
+    assert (sequences.length.cumsum() == got.offset + got.length).all()
+    assert (sequences.length.sum() != 64).sum() <= 6 and got.length.sum() == sum(len(x) for _, x in rows)
+    for i, x in rows[:50] + rows[-7:]:
+        part = got[got.doc_id.isna() if i is None else got.doc_id == i].sort_values("start")
+        times = 6 if i == 3 else 1
+        assert part.length.sum() == times * len(x) and (times > 1 or np.concatenate(part.ids.to_list()).tolist() == x)
+
+
 def test_drawn_texts_ask_all_terms_of_all_documents(spark, monkeypatch):
     """Each document goes to the drawn text with the highest BM25 score for it, over partitions and slices of texts."""
     random.seed(10)
