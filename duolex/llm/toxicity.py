@@ -99,6 +99,7 @@ class Model:
         ends = np.cumsum([0] + [len(d) for d in docs])
         owner = np.repeat(np.arange(len(docs)), np.diff(ends))
         all_grams, bounds = word_grams(words)
+        ends_of_words = bounds
         word_of_gram = np.repeat(np.arange(len(words)), np.diff(bounds))
         seen = np.bincount(all_grams, np.bincount(flat, minlength=len(words))[word_of_gram], minlength=ROWS)
         often = seen[all_grams] >= SEEN
@@ -138,7 +139,7 @@ class Model:
         # Rows that no sampled word has carry no evidence either way.
         self.embedding[:] = 0
         self.embedding[used] = table
-        best = np.maximum.reduceat(self.logits(*word_grams(words))[flat], ends[:-1])
+        best = np.maximum.reduceat(self.logits(all_grams, ends_of_words)[flat], ends[:-1])
         self.calibrate(best, toxic)
 
     def calibrate(self, best: np.ndarray, toxic: np.ndarray) -> None:
@@ -179,7 +180,9 @@ def sample(docs: DataFrame, labels: DataFrame, key: str) -> tuple[list[list[str]
         .orderBy("_key", "_words")
         .toPandas()
     )
-    return [w.split() for w in rows["_words"]], rows["_toxic"].to_numpy(dtype=np.int64)
+    # A word is kept once, however many documents have it.
+    once: dict[str, str] = {}
+    return [[once.setdefault(w, w) for w in words.split()] for words in rows["_words"]], rows["_toxic"].to_numpy(dtype=np.int64)
 
 
 def train(docs: list[list[str]], toxic: np.ndarray) -> Model | None:

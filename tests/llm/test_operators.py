@@ -638,3 +638,26 @@ def test_likeness_reads_fingerprints_as_bytes(spark):
 
     for row in found.collect():
         assert row["near"] == plain(row["fingerprint"], row["next_print"])
+
+
+def test_bands_and_class_texts_are_not_sent(spark):
+    """A stored row with many bands is sized as one with a single band, and texts as they are packed."""
+    classes = [(i, [i // 2, 1000 + i % 5, 2000 + i]) for i in range(20)]
+    stored = materialize(spark.createDataFrame(classes, "class long, bands array<long>"), "classes")
+    found = minhash.shared_bands(stored)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    size = Counter(k for _, bands in classes for k in bands)
+    want = sorted((k, i, size[k]) for i, bands in classes for k in bands if size[k] > 1)
+    assert sorted(found.select("key", "class", "size").collect()) == want
+    texts = materialize(spark.createDataFrame([(i, "one two three four " * 40) for i in range(20)], "class long, text string"), "texts")
+    pairs = materialize(spark.createDataFrame([(0, 1), (2, 3)], "a long, b long"), "pairs")
+    same = minhash.verified(pairs, texts, 4, 80)
+    assert "Broadcast" not in same._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(same.collect()) == [(0, 1), (2, 3)]
+
+
+def test_toxicity_samples_keep_a_word_once(spark):
+    docs = spark.createDataFrame([(i, f"common words{i} here") for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    words, _ = toxicity.sample(docs, labels, "doc_id")
+    assert len(words) > 5 and len({id(w) for d in words for w in d if w == "common"}) == 1
