@@ -661,3 +661,19 @@ def test_toxicity_samples_keep_a_word_once(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     words, _ = toxicity.sample(docs, labels, "doc_id")
     assert len(words) > 5 and len({id(w) for d in words for w in d if w == "common"}) == 1
+
+
+def test_graphs_stay_small():
+    """Wide vectors make more shards, large tables larger slices; upper layers hold their own nodes only."""
+    assert hnsw.cuts(0, 0) == (8, 1) and hnsw.cuts(256_410, 64) == (8, 16)
+    shards, slices = hnsw.cuts(3_000_000, 64)
+    assert shards * hnsw.SHARD_BYTES >= 3_000_000 * 12 * 64 and slices == 46
+    assert hnsw.cuts(100_000, 1024)[0] > 30
+    vectors = np.random.default_rng(4).standard_normal((600, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    graph = hnsw.Graph(vectors)
+    whole = list(graph.layers)
+    graph.close()
+    assert len(whole) > 1 and sum(len(x.links) for x in graph.layers[:-1]) < 100
+    ids = np.arange(600)
+    assert all((a[ids] == b[ids]).all() for a, b in zip(graph.layers, whole))
