@@ -379,3 +379,20 @@ def test_position_in_place(spark):
     odd = ix.position_in_place(df.union(spark.createDataFrame([(None, "a"), (None, "b")], df.schema)), "id").collect()
     assert {r.row_index for r in odd if r.id is None} == {0, 1} and len(odd) == len(ids) + 2
     assert ix.position_in_place(df.filter("id > 1e18"), "id").count() == 0
+
+
+def test_splits_in_order_are_not_sorted_again(spark, tmp_path):
+    """Rows that come in order of their position are written so, without another sort of whole rows."""
+    rows = [(i, i % 3, "text " * (i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, lang int, text string").repartition(4)
+    marked = od.shuffle(od.hash_split(df, ["id"]), ["id"], partitions=3, name="position")
+    before = spark.conf.get(tb.OPEN_FILES_KEY, "0")
+    tb.write_splits(marked, str(tmp_path / "one"), in_order=True)
+    assert spark.conf.get(tb.OPEN_FILES_KEY, "0") == before
+    tb.write_splits(marked, str(tmp_path / "two"))
+    read = lambda name: tb.read_splits(spark, str(tmp_path / name))
+    assert sorted(read("one").collect()) == sorted(read("two").collect()) and read("one").count() == 500
+    files = read("one").withColumn("file", F.input_file_name()).collect()
+    for file in {r.file for r in files}:
+        own = [r for r in files if r.file == file]
+        assert [r.position for r in own] == sorted(r.position for r in own) and len({r.split for r in own}) == 1
