@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from duolex.llm import languages, packing, toxicity
@@ -65,6 +66,17 @@ def test_toxic_documents_go(spark):
     assert ids(kept) == ids(said.filter("predicted = 0"))
 
 
+def test_large_tables_are_packed_by_what_every_window_asks(spark, monkeypatch):
+    """No table is so large that only some texts ask all documents."""
+    monkeypatch.setattr(packing, "pack_stretches", None)
+    text = F.concat(*[F.concat(F.lit("word"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(500)), F.lit(" ")) for i in range(6)])
+    docs = spark.range(16_500).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = corpus_pipeline.pack_documents(spark, docs, "").select("doc_id", "length", "doc_tokens", "sequence_id").toPandas()
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all() and got.doc_id.nunique() == 16_500
+    sizes = got.groupby("sequence_id").length.sum()
+    assert ((sizes == packing.WINDOW) | (sizes & (sizes - 1) == 0)).all() and (sizes != packing.WINDOW).sum() <= 11
+
+
 def test_run(spark, folder):
     pieces = corpus_pipeline.run(spark, folder)
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "language ID" and len(corpus_pipeline.STAGES) == 5
